@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, tokenbin, topk
+from . import decontam, langid, mixing, pii, quality, simhash, tokenbin, topk
 from .common import table
 from .sql import ORACLE_SQL
 
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_language_id": lambda spark, d: langid.op2(table(spark, d, "documents")),
     "op4_token_binary": lambda spark, d: tokenbin.op4(table(spark, d, "documents")),
     "op5_pii": lambda spark, d: pii.op5(table(spark, d, "documents")),
+    "op6_simhash": lambda spark, d: simhash.op6(table(spark, d, "documents")),
+    "op7_decontamination": lambda spark, d: decontam.op7(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_source_mix": lambda spark, d: mixing.op8(table(spark, d, "documents")),
     "op9_exact_topk": lambda spark, d: topk.op9(table(spark, d, "embeddings")),
     "op10_quality": lambda spark, d: quality.op10(table(spark, d, "documents"), table(spark, d, "labels")),
