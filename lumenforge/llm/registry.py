@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lmscore, mixing, pii, quality, simhash, tokenbin, topk
+from . import decontam, langid, lmscore, mixing, pii, quality, simhash, suffixdedup, tokenbin, topk
 from .common import table
 from .sql import ORACLE_SQL
 
 QUERIES = {
     "op1_lm_score": lambda spark, d: lmscore.op1(table(spark, d, "documents")),
     "op2_language_id": lambda spark, d: langid.op2(table(spark, d, "documents")),
+    "op3_suffix_dedup": lambda spark, d: suffixdedup.op3(table(spark, d, "documents")),
     "op4_token_binary": lambda spark, d: tokenbin.op4(table(spark, d, "documents")),
     "op5_pii": lambda spark, d: pii.op5(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: simhash.op6(table(spark, d, "documents")),
