@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,13 +58,14 @@ class WordEncoder:
     No token crosses white space in a tokenizer with word ends, so a text's ids are its words' ids in a row.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.most = most
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.model, self.code = self.tok.model, "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -72,19 +74,23 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece by the library's merge model, which takes bytes in its printable alphabet."""
-        got = np.array([x.id for x in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(_PRINTABLE))], self.dtype).tobytes()
+        got = array(self.code, [x.id for x in self.model.tokenize(piece.translate(_PRINTABLE) if piece.isascii() else piece.encode().decode("latin-1").translate(_PRINTABLE))]).tobytes()
         self.pieces[piece] = got
         return got
 
     def _learn(self, new: list[str]) -> None:
         """Put the ids of new words into the memory."""
-        cut = {w: _PIECES.findall(w.lower()) for w in new if _PLAIN.match(w) and "<|" not in w}
+        rest = []
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        for w, ps in cut.items():
-            self.words[w] = b"".join([self.pieces.get(p) or self._piece(p) for p in ps])
-        rest = [w for w in new if w not in cut]
-        self.words.update(zip(rest, self._whole(rest)))
+        find, learn, cut, words = self.pieces.get, self._piece, _PIECES.findall, self.words
+        for w in new:
+            if _PLAIN.match(w) and "<|" not in w:
+                ps = cut(w.lower())
+                words[w] = (find(ps[0]) or learn(ps[0])) if len(ps) == 1 else b"".join([find(p) or learn(p) for p in ps])
+            else:
+                rest.append(w)
+        words.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``."""
@@ -117,17 +123,21 @@ def to_planes(ids: np.ndarray, width: int, plane: str) -> list[bytes]:
     raw = np.ascontiguousarray(ids.astype(f"<u{width}")).view(np.uint8).reshape(-1, width)
     if plane == "byte":
         return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(width)]
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    return [np.packbits(bits[:, k]).tobytes() for k in range(8 * width)]
+    columns = [np.ascontiguousarray(raw[:, k]) for k in range(width)]
+    return [np.packbits(c & np.uint8(1 << b)).tobytes() for c in columns for b in range(8)]
 
 
 def from_planes(planes: list[bytes], n: int, width: int, plane: str) -> np.ndarray:
-    if plane == "byte":
-        raw = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1)
-    else:
-        bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p in planes], axis=1)
-        raw = np.packbits(bits, axis=1, bitorder="little")
-    return np.ascontiguousarray(raw).view(f"<u{width}").reshape(-1)
+    raw = np.zeros((n, width), np.uint8)
+    for k in range(width):
+        if plane == "byte":
+            raw[:, k] = np.frombuffer(planes[k], np.uint8)
+        else:
+            column = np.zeros(n, np.uint8)
+            for b in range(8):
+                column |= np.unpackbits(np.frombuffer(planes[8 * k + b], np.uint8), count=n) << np.uint8(b)
+            raw[:, k] = column
+    return raw.view(f"<u{width}").reshape(-1)
 
 
 SEGMENT = "part int, segment int, local_start long, n_ids long, width int, plane string, block_ids int, doc_ids array<{id}>, doc_lens array<long>, plane_lens array<int>, payload binary"
