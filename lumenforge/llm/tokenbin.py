@@ -21,7 +21,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,8 @@ from .common import fresh_dir, partitions
 END_ID = 2
 #: Words of these characters only are cut into pieces here, by the rule that the tokenizer's file states; all others go to the library whole.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\r\x0b\x0c]*\Z")
 #: In such texts letters may be made small before anything else.
 _LATIN = re.compile("[\x00-\xff]*\\Z")
 #: Characters that Python's split() takes for white space and the tokenizer doesn't.
@@ -52,70 +53,77 @@ def _printable() -> dict[int, str]:
 _PRINTABLE = _printable()
 
 
+class Memory(dict):
+    """Words and their ids, in two generations: what the younger lacks comes from the older or is learned.
+
+    ``turn`` drops the older one, so words that keep coming stay and rare ones go.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.learn(word)
+        self[word] = got
+        return got
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class WordEncoder:
-    """Encodes texts word by word; words and their pieces are remembered, up to ``most`` each.
+    """Encodes texts piece by piece; about twice ``most`` pieces (and words with other characters) are remembered.
 
-    No token crosses white space in a tokenizer with word ends, so a text's ids are its words' ids in a row.
+    No token crosses white space or the ends of a piece in a tokenizer with word ends, so a text's ids are its pieces' ids in a row.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.most = most
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.model, self.code = self.tok.model, "H" if self.dtype.itemsize == 2 else "I"
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize, self.code = self.tok.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces, self.words = Memory(self._piece), Memory(self._word)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece by the library's merge model, which takes bytes in its printable alphabet."""
-        got = array(self.code, [x.id for x in self.model.tokenize(piece.translate(_PRINTABLE) if piece.isascii() else piece.encode().decode("latin-1").translate(_PRINTABLE))]).tobytes()
-        self.pieces[piece] = got
-        return got
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_PRINTABLE)
+        elif not piece.isprintable():
+            piece = piece.translate(_PRINTABLE)
+        return array(self.code, [x.id for x in self.tokenize(piece)]).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new words into the memory."""
-        rest = []
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        find, learn, cut, words = self.pieces.get, self._piece, _PIECES.findall, self.words
-        for w in new:
-            if _PLAIN.match(w) and "<|" not in w:
-                ps = cut(w.lower())
-                words[w] = (find(ps[0]) or learn(ps[0])) if len(ps) == 1 else b"".join([find(p) or learn(p) for p in ps])
-            else:
-                rest.append(w)
-        words.update(zip(rest, self._whole(rest)))
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.match(word) or "<|" in word:
+            return self._whole(word)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        out: list = []
-        lack: list[tuple[int, list[str], list[int]]] = []
-        find = self.words.get
-        for k, text in enumerate(texts):
+        out = []
+        for text in texts:
             if not text:
-                out.append([])
+                out.append(b"")
             elif _ODD_SPACE.search(text):
-                out.append(self._whole([text]))
+                out.append(self._whole(text))
+            elif _PLAIN_TEXT.match(text) and "<|" not in text:
+                out.append(b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower()))))
             else:
                 ws = (text.lower() if _LATIN.match(text) else text).split()
-                out.append(got := list(map(find, ws)))
-                if None in got:
-                    lack.append((k, ws, [i for i, x in enumerate(got) if x is None]))
-        if lack:
-            self._learn(list({ws[i] for _, ws, at in lack for i in at}))
-            for k, ws, at in lack:
-                got = out[k]
-                for i in at:
-                    got[i] = self.words[ws[i]]
-        return [b"".join(x) for x in out]
+                out.append(b"".join(map(self.words.__getitem__, ws)))
+            for memory in (self.pieces, self.words):
+                if len(memory) > self.most:
+                    memory.turn()
+        return out
 
 
 def to_planes(ids: np.ndarray, width: int, plane: str) -> list[bytes]:
