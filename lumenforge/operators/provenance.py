@@ -1,8 +1,7 @@
 """Scan of image bytes for provenance markers.
 
 Bytes are read as Latin-1, one character each. A catalog is an ordered list of
-patterns of which the first that matches names the verdict; one alternation of all
-of them decides first whether any does, so most rows cost one pass for a catalog.
+patterns of which the first that matches names the verdict.
 """
 
 from __future__ import annotations
@@ -13,6 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .rules import settled
 
 HEAD, TAIL, XMP_LEAST = 512_000, 16_000, 8_000
 
@@ -55,11 +57,19 @@ def java(pattern: str) -> str:
     return out if pattern in EXACT_CASE else f"(?i:{out})"
 
 
-def first_match(text: Column, catalog: list[str]) -> Column:
-    """The first pattern of the catalog that the text holds, or null."""
-    one = {p: java(p) for p in catalog}
-    named = F.coalesce(*[F.when(text.rlike(j), F.lit(p)) for p, j in one.items()])
-    return F.when(text.rlike("|".join(one.values())), named)
+def needed(pattern: str) -> str:
+    """The longest run of letters and digits, in lower case, that any match of the pattern holds."""
+    bare = re.sub(r"\\[bsd][*+?]?|\[[^]]*\][*+?]?|\(\?![^)]*\)|\([^)]*\)\?|\.\*|\w\?", " ", pattern)
+    return max(re.findall(r"[A-Za-z0-9_]+", bare), key=len).lower()
+
+
+def first_match(text: str, low: str, catalog: list[str]) -> Column:
+    """The first pattern of the catalog that column ``text`` holds, or null. low: the text in lower case.
+
+    A plain search for what a pattern needs comes before its regular expression,
+    which so runs on few rows.
+    """
+    return F.coalesce(*[F.when(F.contains(low, F.lit(needed(p))) & F.col(text).rlike(java(p)), F.lit(p)) for p in catalog])
 
 
 def latin1(content: Column) -> Column:
@@ -97,7 +107,7 @@ def jpeg_parts(b: bytes) -> list[bytes]:
     return [*out, b[-TAIL:]]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def container_parts(content: pd.Series) -> pd.Series:
     """Metadata of PNG and JPEG containers, whose strides depend on the data; null for others."""
 
@@ -122,18 +132,22 @@ def verdict(df: DataFrame, content: str = "content", containers: bool = True) ->
     The Python walk runs over PNG and JPEG rows without a soft binding alone.
     """
     c = F.col(content)
-    out = df.withColumn("_full", window_text(c)).withColumn("_soft", first_match(F.col("_full"), SOFT_BINDING))
+    out = settled(df.withColumn("_full", window_text(c)), ["_full"])
+    out = settled(out.withColumn("_low", F.lower("_full")), ["_low"])
+    out = settled(out.withColumn("_soft", first_match("_full", "_low", SOFT_BINDING)), ["_soft"])
     if containers:
         walk = (F.substring(c, 1, 4) == F.unhex(F.lit("89504E47"))) | (F.substring(c, 1, 2) == F.unhex(F.lit("FFD8")))
         held = out.withColumn("_walk", F.coalesce(walk & F.col("_soft").isNull(), F.lit(False)))
         walked = held.filter("_walk").withColumn("_parts", container_parts(content))
         out = walked.unionByName(held.filter("NOT _walk").withColumn("_parts", F.lit(None).cast("binary"))).drop("_walk")
-        out = out.withColumn("_meta", F.coalesce(latin1(F.col("_parts")), F.col("_full"))).drop("_parts")
+        out = settled(out.withColumn("_meta", F.coalesce(latin1(F.col("_parts")), F.col("_full"))).drop("_parts"), ["_meta"])
+        out = settled(out.withColumn("_mlow", F.lower("_meta")), ["_mlow"])
     else:
-        out = out.withColumn("_meta", F.col("_full"))
+        out = out.withColumns({"_meta": F.col("_full"), "_mlow": F.col("_low")})
     at = F.locate(XMP, F.col("_meta"))
-    out = out.withColumns({"_software": first_match(F.col("_meta"), SOFTWARE), "_param": first_match(F.col("_meta"), PARAMETERS), "_xmp": (at > 0) & (F.length("_meta") - at + 1 > XMP_LEAST)})
+    out = out.withColumns({"_software": first_match("_meta", "_mlow", SOFTWARE), "_param": first_match("_meta", "_mlow", PARAMETERS), "_xmp": (at > 0) & (F.length("_meta") - at + 1 > XMP_LEAST)})
     empty = F.coalesce(F.octet_length(c), F.lit(0)) == 0
+    out = settled(out, ["_software", "_param", "_xmp"])
     rows = [
         (empty, 0.5, F.lit("empty-bytes"), False),
         (F.col("_soft").isNotNull(), 0.99, F.concat(F.lit("watermark-synthid-meta:"), "_soft"), True),
@@ -143,7 +157,7 @@ def verdict(df: DataFrame, content: str = "content", containers: bool = True) ->
         (F.lit(True), 0.5, F.lit("no-provenance"), False),
     ]
     pick = lambda k: F.coalesce(*[F.when(r[0], r[k] if isinstance(r[k], Column) else F.lit(r[k])) for r in rows])
-    return out.withColumns({"prov": pick(1), "prov_detail": pick(2), "prov_stop": pick(3)}).drop("_full", "_soft", "_meta", "_software", "_param", "_xmp")
+    return out.withColumns({"prov": pick(1), "prov_detail": pick(2), "prov_stop": pick(3)}).drop("_full", "_low", "_soft", "_meta", "_mlow", "_software", "_param", "_xmp")
 
 
 def scan_files(paths: Iterator[str] | list[str], spark) -> DataFrame:
