@@ -139,6 +139,14 @@ def with_resets(events: DataFrame, owner: str = "owner", seq: str = "seq", src:
 
 
 def evicted(tracked: DataFrame, owner: str = "owner", seen: str = "seen", soft: int = SOFT_TRACKED, hard: int = HARD_TRACKED) -> DataFrame:
-    """Entries to let go: finished ones beyond the ``soft`` most recent of an owner, any beyond ``hard``."""
+    """Entries to let go: finished ones beyond the ``soft`` most recent of an owner, any beyond ``hard``.
+
+    Only an owner's ``hard`` most recent entries are ranked, which tasks cut to that
+    number before the shuffle; the others are held against the two entries at the limits.
+    """
     rank = F.row_number().over(W.partitionBy(owner).orderBy(F.desc(seen), "id"))
-    return tracked.withColumn("rank", rank).filter((F.col("rank") > hard) | ((F.col("rank") > soft) & F.col("done")))
+    recent = tracked.select(F.col(owner), F.col(seen), F.col("id")).withColumn("rank", rank).filter(F.col("rank") <= hard)
+    last = lambda n: F.max(F.when(F.col("rank") == n, F.struct(seen, "id")))
+    limits = recent.groupBy(F.col(owner).alias("_o")).agg(last(soft).alias("_soft"), last(hard).alias("_hard"))
+    beyond = lambda c: F.coalesce((F.col(seen) < F.col(f"{c}.{seen}")) | ((F.col(seen) == F.col(f"{c}.{seen}")) & (F.col("id") > F.col(f"{c}.id"))), F.lit(False))
+    return tracked.join(limits, F.col(owner) == F.col("_o")).filter(beyond("_hard") | (beyond("_soft") & F.col("done"))).drop("_o", "_soft", "_hard")
