@@ -53,6 +53,23 @@ def test_spelling_is_a_distribution():
     assert np.isfinite(lmscore.spelling([b"x" * 5000, b""], m)).all()
 
 
+def test_recent_words_match_plain_counts():
+    rng = np.random.default_rng(4)
+    lens = np.array([1, 40, 7, 200])
+    t = rng.integers(0, 9, lens.sum()).astype(np.uint32)
+    keep, q = lmscore.recent(t, lens, 9)
+    at = 0
+    for n in lens:
+        doc = t[at : at + n].tolist()
+        for i, w in enumerate(doc):
+            seen, after_n = doc[:i].count(w), doc[: i - 1].count(doc[i - 1]) if i else 0
+            after = sum(doc[j] == doc[i - 1] and doc[j + 1] == w for j in range(i - 1)) if i else 0
+            share, tail = 0.1 * i / (i + 50), 0.1 * after_n / (after_n + 1)
+            assert np.isclose(np.exp(keep[at + i]), (1 - share) * (1 - tail))
+            assert np.isclose(q[at + i], (1 - tail) * share * seen / max(1, i) + tail * after / max(1, after_n))
+        at += n
+
+
 def test_lm_beats_base_on_held_out(spark, medium):
     out = lmscore.op1(table(spark, medium, "documents")).filter("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert out.s > out.b
