@@ -50,11 +50,10 @@ def two_phases(spark: SparkSession, d: str) -> DataFrame:
 @query("t10_pending_deadline", "SELECT event_id, user_id, coalesce(epoch_us(next) - epoch_us(ts) > 2500000, true) AS timed_out FROM (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)")
 def pending_deadline(spark: SparkSession, d: str) -> DataFrame:
     """T10 in replay: an event is answered by its user's next one, if that comes within the deadline."""
-    from pyspark.sql import Window as W
-
-    after = F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = F.timestamp_diff("MICROSECOND", F.col("ts"), after)
-    return table(spark, d, "events").select("event_id", "user_id", F.coalesce(gap > live.PENDING_MS * 1000, F.lit(True)).alias("timed_out"))
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts")
+    out = live.beside(rows, "user_id", ["ts", "event_id"], "ts", F.date_trunc("day", F.col("ts")), "next", after=True)
+    gap = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next"))
+    return out.select("event_id", "user_id", F.coalesce(gap > live.PENDING_MS * 1000, F.lit(True)).alias("timed_out"))
 
 
 _SRC = "SELECT user_id AS owner, event_id AS seq, event_type AS src, mod(event_id, 11) = 4 AS fatal FROM {ev} WHERE user_id IS NOT NULL"
@@ -62,7 +61,7 @@ _SRC = "SELECT user_id AS owner, event_id AS seq, event_type AS src, mod(event_i
 
 @query("t11_t12_resets", f"SELECT owner, seq, version::BIGINT AS version, coalesce(bool_or(fatal) OVER (PARTITION BY owner, version ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stuck FROM (SELECT *, sum(change) OVER (PARTITION BY owner ORDER BY seq) AS version FROM (SELECT *, coalesce((lag(src) OVER (PARTITION BY owner ORDER BY seq) <> src)::INT, 1) AS change FROM ({_SRC.format(ev='events')})))")
 def resets(spark: SparkSession, d: str) -> DataFrame:
-    return live.with_resets(spark.sql(_SRC, ev=table(spark, d, "events"))).select("owner", "seq", "version", "stuck")
+    return live.with_resets(spark.sql(_SRC, ev=table(spark, d, "events")), width=1000).select("owner", "seq", "version", "stuck")
 
 
 @query("t13_eviction", "SELECT id FROM (SELECT event_id AS id, event_type IN ('click', 'view') AS done, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank > 1000 OR (rank > 500 AND done)")

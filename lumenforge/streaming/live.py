@@ -11,7 +11,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -129,13 +129,39 @@ def fresh_results(results: DataFrame, owner: str = "owner", seq: str = "seq", sr
     return results.join(now, (F.col(owner) == F.col("_o")) & (F.col(src) == F.col("_now"))).drop("_o", "_now")
 
 
-def with_resets(events: DataFrame, owner: str = "owner", seq: str = "seq", src: str = "src", fatal: str = "fatal") -> DataFrame:
-    """Number each owner's sources as they change (``version``), and hold an error back from trying again as long as the source stays (``stuck``)."""
-    w = W.partitionBy(owner).orderBy(seq)
-    change = F.coalesce((F.lag(src).over(w) != F.col(src)).cast("int"), F.lit(1))
-    out = events.withColumn("_change", change).withColumn("version", F.sum("_change").over(w)).drop("_change")
-    before = W.partitionBy(owner, "version").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    return out.withColumn("stuck", F.coalesce(F.bool_or(fatal).over(before), F.lit(False)))
+def beside(rows: DataFrame, owner: str, order: list[str], value: str, bucket: Column, out: str, after: bool = False) -> DataFrame:
+    """Add the value of an owner's row before (or after) each row.
+
+    bucket: a column that never falls in the order. Windows cover one bucket of one
+    owner, so an owner with a third of all rows is split; the rows at the edges take
+    their value from the table of buckets' ends.
+    """
+    held = rows.withColumn("_b", bucket)
+    inner = W.partitionBy(owner, "_b").orderBy(*order)
+    near, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    ends = held.groupBy(F.col(owner).alias("_o"), F.col("_b").alias("_eb")).agg(edge(value, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_far", near("_end").over(W.partitionBy("_o").orderBy("_eb"))).drop("_end")
+    last = F.row_number().over(W.partitionBy(owner, "_b").orderBy(*[F.desc(c) if after else F.asc(c) for c in order])) == 1
+    held = held.withColumns({"_near": near(value).over(inner), "_edge": last})
+    joined = held.join(ends, F.col(owner).eqNullSafe(F.col("_o")) & F.col("_b").eqNullSafe(F.col("_eb")))
+    return joined.withColumn(out, F.when(F.col("_edge"), F.col("_far")).otherwise(F.col("_near"))).drop("_b", "_o", "_eb", "_far", "_near", "_edge")
+
+
+def with_resets(events: DataFrame, owner: str = "owner", seq: str = "seq", src: str = "src", fatal: str = "fatal", width: int = 1 << 16) -> DataFrame:
+    """Number each owner's sources as they change (``version``), and hold an error back from trying again as long as the source stays (``stuck``).
+
+    seq: distinct within an owner. Counts of changes are added up by buckets of ``width`` first.
+    """
+    bucket = F.floor(F.col(seq) / F.lit(width))
+    out = beside(events, owner, [seq], src, bucket, "_before").withColumn("_change", F.coalesce((F.col("_before") != F.col(src)).cast("int"), F.lit(1))).withColumn("_b", bucket)
+    sums = out.groupBy(F.col(owner).alias("_o"), F.col("_b").alias("_sb")).agg(F.sum("_change").alias("_s"))
+    sums = sums.withColumn("_base", F.sum("_s").over(W.partitionBy("_o").orderBy("_sb")) - F.col("_s")).drop("_s")
+    inside = F.sum("_change").over(W.partitionBy(owner, "_b").orderBy(seq))
+    out = out.withColumn("_in", inside).join(sums, F.col(owner).eqNullSafe(F.col("_o")) & (F.col("_b") == F.col("_sb"))).withColumn("version", F.col("_base") + F.col("_in"))
+    out = out.drop("_before", "_change", "_b", "_o", "_sb", "_base", "_in")
+    first = out.filter(F.col(fatal)).groupBy(F.col(owner).alias("_o"), F.col("version").alias("_v")).agg(F.min(seq).alias("_fatal"))
+    joined = out.join(first, F.col(owner).eqNullSafe(F.col("_o")) & (F.col("version") == F.col("_v")), "left")
+    return joined.withColumn("stuck", F.coalesce(F.col(seq) > F.col("_fatal"), F.lit(False))).drop("_o", "_v", "_fatal")
 
 
 def evicted(tracked: DataFrame, owner: str = "owner", seen: str = "seen", soft: int = SOFT_TRACKED, hard: int = HARD_TRACKED) -> DataFrame:
