@@ -287,9 +287,9 @@ def induce(batches: Iterator[pd.DataFrame], buckets: int, length: int, name: int
         pdf = pdf.sort_values("key", kind="stable")
         key = pdf["key"].to_numpy(np.int64)
         shared = [np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in bs])) for bs in pdf["places"]]
-        h1, h2, wk, ws, wa = [], [], [], [], []
+        # of each sampled suffix: its document's key, first window and number of windows; of each window only its hashes
+        h1, h2, keys, starts, counts, names = [], [], [], [], [], []
         held: list[tuple[Segment, np.ndarray]] = []
-        n = 0
         for s in segments([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"].tolist()], length, name):
             if not len(s.at):
                 continue
@@ -305,33 +305,38 @@ def induce(batches: Iterator[pd.DataFrame], buckets: int, length: int, name: int
             w = ranges(count, s.start[i])
             h1.append(rolled(s.text, length)[w])
             h2.append(rolled(s.text, length, 1)[w])
-            wk.append(key[s.row[w]])
-            ws.append(w + s.shift[w])
-            wa.append(np.repeat(np.arange(n, n + len(i)), count))
+            keys.append(key[s.row[s.start[i]]])
+            starts.append(s.start[i] + s.shift[s.start[i]])
+            counts.append(count)
+            names.append(s.name[i])
             held.append((s, i))
-            n += len(i)
-        if not n:
+        if not held:
             return
-        h1, h2, wk, ws, wa = (np.concatenate(x) for x in (h1, h2, wk, ws, wa))
+        keys, starts, counts, names = (np.concatenate(x) for x in (keys, starts, counts, names))
+        first = np.concatenate([[0], np.cumsum(counts)])  # each suffix's first window among all
+        h1, h2 = np.concatenate(h1), np.concatenate(h2)
         later = not_first(h1, h2)
-        done = as_ranges(wk[later], ws[later], length)
+        del h1, h2
+        j = np.flatnonzero(later)
+        owner = np.searchsorted(first, j, "right") - 1
+        done = as_ranges(keys[owner], starts[owner] + (j - first[owner]), length)
         if len(done):
             yield done.assign(**empty)
         # of each sampled suffix, from its first to its last window that goes on
         on = np.flatnonzero(~later)
-        edge = np.flatnonzero(np.concatenate([[True], wa[on][1:] != wa[on][:-1], [True]])) if len(on) else np.zeros(1, np.int64)
-        first, last, which = on[edge[:-1]], on[edge[1:] - 1], wa[on[edge[:-1]]]
-        a = 0
-        keys, starts, counts, names, bodies = wk[first], ws[first], last - first + 1, [], []
+        owner = np.searchsorted(first, on, "right") - 1
+        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(on) else np.zeros(1, np.int64)
+        which = owner[edge[:-1]]
+        skip, last = on[edge[:-1]] - first[which], on[edge[1:] - 1] - first[which]
+        keys, starts, counts, names = keys[which], starts[which] + skip, last - skip + 1, names[which]
+        a, bodies = 0, []
         for s, i in held:
-            mine = (which >= a) & (which < a + len(i))
-            here = i[which[mine] - a]
-            begin = starts[mine] - s.shift[s.at[here]]
-            names.append(s.name[here])
+            x, y = np.searchsorted(which, [a, a + len(i)])
+            begin = s.start[i[which[x:y] - a]] + skip[x:y]
             raw = s.text.tobytes()
-            bodies += [raw[x : x + c + length - 1] for x, c in zip(begin.tolist(), counts[mine].tolist())]
+            bodies += [raw[p : p + c + length - 1] for p, c in zip(begin.tolist(), counts[x:y].tolist())]
             a += len(i)
-        bucket = (np.concatenate(names) % np.uint64(buckets)).astype(np.int64)
+        bucket = (names % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut_at = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
