@@ -152,3 +152,18 @@ def detect(images: DataFrame, key: str = "image_id", head: str = "stub", second:
     else:
         got = got.withColumn("f", F.lit(None).cast("double"))
     return fuse(got)
+
+
+def per_raster(images: DataFrame, key: str, columns: str, f: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """key and what f makes of each raster. Narrow; null rasters give nulls."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [f(x) if x is not None else (None,) * len(names) for x in arrays(pdf)]
+            out = pd.DataFrame(rows, columns=names)
+            out.insert(0, key, pdf[key].to_numpy())
+            yield out
+
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, "width", "height", "rgb").mapInPandas(run, f"`{key}` {kind}, {columns}")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenforge.functions import raster
 from lumenforge.operators import heads
 from lumenforge.operators import pixels as px
 from lumenforge.operators.rules import settled
 from lumenforge.session import table
+from lumenforge.sources.substrate import SCORED_DUCK, scored
 
 from . import pixels as plan
 from .catalog import ORACLE_SQL, query
@@ -82,3 +84,68 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     content = F.encode(F.when(F.col("image_id") % 9 == 0, "Software: midjourney").otherwise("plain"), "UTF-8")
     images = raster_rows(spark, d).withColumn("content", content)
     return heads.detect(images, second="stub").select("image_id", "branch", F.round("confidence", 6).alias("confidence"), "label", "detail", "prov_detail")
+
+
+_NORMAL = "round(avg(({c} / 255e0 - 0.5e0) / 0.5e0), 5) AS {c}"
+
+
+@query("r01_r05_r08_tensors", f"SELECT image_id, {', '.join(_NORMAL.format(c=c) for c in 'rgb')} FROM ({plan.DUCK}) GROUP BY image_id")
+def tensors(spark: SparkSession, d: str) -> DataFrame:
+    """Stretched (here to their own size, by the sharper filter) and normalised, planar; the planes' means."""
+
+    def means(rgb):
+        return tuple(float(p.mean(dtype="float64")) for p in raster.tensor(raster.resize(rgb, plan.N, plan.N, "lanczos")))
+
+    out = heads.per_raster(raster_rows(spark, d), "image_id", "r double, g double, b double", means)
+    return out.select("image_id", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+
+@query("r02_short_side_crop", f"SELECT image_id, 32 AS side, round(avg(r), 4) AS r FROM ({plan.DUCK}) WHERE x BETWEEN 16 AND 47 AND y BETWEEN 16 AND 47 GROUP BY image_id")
+def short_side_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The shorter side to 64, then the middle 32 by 32."""
+
+    def crop(rgb):
+        part = raster.short_side_crop(rgb, plan.N, 32)
+        return part.shape[0], float(part[..., 0].mean())
+
+    out = heads.per_raster(raster_rows(spark, d), "image_id", "side int, r double", crop)
+    return out.withColumn("r", F.round("r", 4))
+
+
+@query("r07_x27_x33_mark_tensor", f"SELECT image_id, 6 AS planes, round(avg(r / 255e0), 5) AS mean_r, round(avg(b / 255e0), 5) AS mean_b, 0e0 AS low, 1e0 AS high, 2e0 AS carriers, true AS finite FROM ({plan.DUCK}) GROUP BY image_id")
+def mark_tensor(spark: SparkSession, d: str) -> DataFrame:
+    """Six planes at 64 points a side: colours, wavelet residual, spectrum from 0 to 1, and the two carriers that fit."""
+
+    def stats(rgb):
+        m = raster.mark_tensor(rgb, plan.N).astype("float64")
+        return len(m), m[0].mean(), m[2].mean(), m[4].min(), m[4].max(), m[5].sum(), bool((m == m).all())
+
+    out = heads.per_raster(raster_rows(spark, d), "image_id", "planes int, mean_r double, mean_b double, low double, high double, carriers double, finite boolean", stats)
+    return out.withColumns({c: F.round(c, 5) for c in ("mean_r", "mean_b", "low", "high")})
+
+
+@query("x34_pixel_mark", "SELECT image_id, round(CASE WHEN d >= 0.55 THEN greatest(d, 0.95) ELSE 0.5 + 0.2 * (d - 0.5) END, 7) AS score, d >= 0.55 AS stop FROM (" + SCORED_DUCK + ")")
+def pixel_mark(spark: SparkSession, d: str) -> DataFrame:
+    """A mark's verdict from a head's probability."""
+    p = F.col("d")
+    score = F.when(p >= 0.55, F.greatest(p, F.lit(0.95))).otherwise(0.5 + 0.2 * (p - 0.5))
+    return scored(spark, d).select("image_id", F.round(score, 7).alias("score"), (p >= 0.55).alias("stop"))
+
+
+@query("x21_x22_x26_visible_mark")
+def visible_mark(spark: SparkSession, d: str) -> DataFrame:
+    """Glyphs of every region read and matched; the first region's phrase wins."""
+    return heads.per_raster(raster_rows(spark, d), "image_id", "score double, detail string, stop boolean", raster.visible_mark)
+
+
+@query("m01_models", "SELECT * FROM (VALUES ('accurate', 384), ('pixel-mark', 512), ('small', 224), ('stub', 0)) m(model, size)")
+def model_table(spark: SparkSession, d: str) -> DataFrame:
+    return heads.models(spark).select("model", "size")
+
+
+@query("s03_load_source", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(encode('src')) WHEN doc_id % 3 = 1 THEN sha256(encode('b64')) END AS digest, doc_id % 3 = 2 AS failed FROM documents WHERE doc_id >= 0")
+def load_source(spark: SparkSession, d: str) -> DataFrame:
+    """Landed bytes first, base64 second, an error if there is neither."""
+    rows = table(spark, d, "documents").filter("doc_id >= 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.encode(F.lit("src"), "UTF-8")).alias("landed"), F.when(F.col("doc_id") % 3 < 2, F.lit("YjY0")).alias("b64"))
+    content = F.coalesce("landed", F.unbase64("b64"))
+    return rows.select("doc_id", F.sha2(content, 256).alias("digest"), content.isNull().alias("failed"))
