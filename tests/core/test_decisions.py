@@ -99,3 +99,23 @@ def test_sweep_equals_the_grid(spark):
     for k in range(35, 95):
         t = k / 100
         assert got[t].tpr == pytest.approx(sum(p >= t for p in ai) / len(ai)) and got[t].hard_tnr == pytest.approx(sum(p < t for p in real) / len(real))
+
+
+CGI = (0.32, 900.0, 0.62, 0.35, 120, 0.4, 0.12)
+
+
+def test_smooth_colourful_images(spark):
+    soft = (0.36, 700.0, 0.6, 0.32, 90, 0.45, 0.18)
+    data = [("boost", 0.55, 0.32, N, *CGI, N, N, N, N, N, N), ("low", 0.5, 0.28, N, *CGI, N, N, N, N, N, N), ("small", 0.4, 0.35, N, *CGI, N, N, N, N, N, 140), ("soft", 0.45, 0.38, N, *soft, N, N, N, N, N, 160)]
+    got = {r["name"]: r for r in fu.fuse(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got["boost"].is_cgi and all(r.label == "ai" and r.confidence >= fu.AI_FLOOR for r in got.values())
+    assert got["boost"].detail.split("|")[0] in ("cgi-spectral-boost", "neon-ai-subject") and got["small"].detail.startswith("small-cgi-ai") and got["soft"].detail.startswith(("small-nonphoto-ai", "small-cgi-ai"))
+
+
+def test_gate(spark):
+    """Only a decisive first head on a large photographic image goes without the second."""
+    photo = (0.45, 1500.0, 0.4, 0.3, 180, 0.4, 0.3)
+    data = [("decisive", 0.4, 0.88, N, *photo, N, N, N, N, N, 512), ("elevated", 0.42, 0.81, N, *photo, N, N, N, N, N, 512), ("low", 0.55, 0.12, N, *photo, N, N, N, N, N, 512), ("small", 0.4, 0.9, N, *photo, N, N, N, N, N, 200), ("drawn", 0.4, 0.9, N, *CGI, N, N, N, N, N, 512)]
+    rows = rules.with_rules(spark.createDataFrame(data, SCHEMA))
+    got = {r[0]: r[1] for r in rows.select("name", F.expr(rules.needs_cascade())).collect()}
+    assert got == {"decisive": False, "elevated": True, "low": True, "small": True, "drawn": True}
