@@ -81,14 +81,15 @@ def rasters(files: DataFrame) -> DataFrame:
 _MEASURED = ", ".join(f"{n} {'int' if n in ('colors', 'f_colors') else 'double'}" for n in raster.NAMES)
 
 
-def measured(images: DataFrame, key: str, head: str = "stub", carry: tuple[str, ...] = ()) -> DataFrame:
+def measured(images: DataFrame, key: str, head: str = "stub", carry: tuple[str, ...] = (), keep_rasters: bool = False) -> DataFrame:
     """key, the twelve features, s (their score), d (the head's), mark, mark_detail, mark_stop, min_side, and the columns to carry.
 
     One pass over the rasters; null rasters give null scores. Batches of rasters are
     bounded by ``spark.sql.execution.arrow.maxRecordsPerBatch`` and maxBytesPerBatch.
     """
     schema = images.schema
-    kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in reversed((key, *carry)))
+    passed = (key, *carry, *(("width", "height", "rgb") if keep_rasters else ()))
+    kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in reversed(passed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = HEADS[head]()
@@ -107,7 +108,7 @@ def measured(images: DataFrame, key: str, head: str = "stub", carry: tuple[str,
             out = pd.DataFrame(rows, columns=[*raster.NAMES, "s", "d", "mark", "mark_detail", "mark_stop", "min_side"])
             for c in ("colors", "f_colors", "min_side"):
                 out[c] = out[c].astype("Int32")
-            for c in (key, *carry):
+            for c in passed:
                 out.insert(0, c, pdf[c].to_numpy())
             yield out
 
@@ -133,22 +134,22 @@ def second_head(rows: DataFrame, needs: Column, head: str) -> DataFrame:
 
 
 def detect(images: DataFrame, key: str = "image_id", head: str = "stub", second: str | None = None) -> DataFrame:
-    """The whole flow over key, content, width, height, rgb: provenance, marks, features, heads, fusion, label.
+    """The whole flow over key, content, width, height, rgb: provenance, marks, features, heads, fusion, label. Narrow: rasters are never shuffled.
 
     Rows that provenance settles keep their raster out of Python: it is nulled
     before the pass, as it is for rows that the gate keeps from the second head.
     """
     prov = verdict(images)
     todo = prov.withColumn("rgb", F.when(~F.col("prov_stop"), F.col("rgb")))
-    got = measured(todo, key, head, ("prov", "prov_detail", "prov_stop"))
+    got = measured(todo, key, head, ("prov", "prov_detail", "prov_stop"), keep_rasters=second is not None)
     got = got.withColumns({"s": F.coalesce("s", F.lit(0.5)), "d": F.coalesce("d", F.lit(0.5))})
     stop = F.coalesce(F.col("mark_stop"), F.lit(False)) & ~F.col("prov_stop")
     got = got.withColumns({"prov": F.when(stop, F.col("mark")).otherwise(F.col("prov")), "prov_detail": F.when(stop, F.col("mark_detail")).otherwise(F.col("prov_detail")), "prov_stop": F.col("prov_stop") | stop})
     if second:
         ruled = with_rules(got)
         needs = ~F.col("prov_stop") & F.coalesce(F.expr(needs_cascade()), F.lit(True))
-        ruled = ruled.withColumn("needs", needs).join(images.select(key, "width", "height", "rgb"), key)
-        got = second_head(ruled, F.col("needs"), second).select(*got.columns, "f")
+        names = [c for c in got.columns if c not in ("width", "height", "rgb")]
+        got = second_head(ruled.withColumn("needs", needs), F.col("needs"), second).select(*names, "f")
     else:
         got = got.withColumn("f", F.lit(None).cast("double"))
     return fuse(got)
