@@ -1,0 +1,150 @@
+"""Coding cost of whole texts, bit by bit, by mixed predictors over hashed contexts.
+
+Every byte of a text and one closing byte (0xFF, which UTF-8 never has) are coded
+highest bit first. The contexts are the last 1, 2, 3, 4 and 6 bytes, across words,
+and the word so far with the word before it. Each predictor counts the zeros and
+ones of every occurrence in the training texts, in a hashed table. A gate, the set
+of contexts that have been seen, picks the weights by which the logits add up;
+last comes an adaptive map. A training text's bit is left out of its own counts.
+
+Texts of more than ``LONGEST`` bytes are coded in pieces whose contexts start anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+
+LAST = (1, 2, 3, 4, 6)
+N, LONGEST, BLOCK = len(LAST) + 1, 1 << 18, 1 << 17
+GATES, STEPS, LIMIT = 1 << N, 33, 8.0
+MUL, NODE, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+LOGS = np.log(np.arange(65536, dtype=np.float32) + np.float32(0.2))
+
+
+def parts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Closed texts in pieces, and which text each piece is of."""
+    cut = [[t[a : a + LONGEST] for a in range(0, len(t), LONGEST)] for t in (t + b"\xff" for t in texts)]
+    return [p for c in cut for p in c], np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+
+
+def blocks(parts: list[bytes]) -> Iterator[tuple[int, int]]:
+    a, size = 0, 0
+    for k, p in enumerate(parts):
+        if k > a and size + len(p) > BLOCK:
+            yield a, k
+            a, size = k, 0
+        size += len(p)
+    if a < len(parts):
+        yield a, len(parts)
+
+
+def contexts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All bytes end to end, the part of each, and a hash per predictor and byte."""
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(p) for p in parts], np.int64)
+    first, at = np.repeat(np.cumsum(size) - size, size), np.arange(len(flat))
+    since, last = at - first, np.zeros(len(flat), np.uint64)
+    for j in range(1, max(LAST) + 1):
+        last[j:] |= np.where(since[j:] >= j, flat[:-j], 0).astype(np.uint64) << np.uint64(8 * (j - 1))
+    out = [((last & np.uint64((1 << (8 * n)) - 1)) + np.uint64(k + 1)) * MUL for k, n in enumerate(LAST)]
+    new = since == 0
+    new[1:] |= flat[:-1] <= 32
+    word = np.maximum.accumulate(np.where(new, at, 0))
+    power = np.cumprod(np.full(int((at - word).max(initial=0)) + 1, MUL, np.uint64))
+    term = (flat.astype(np.uint64) + np.uint64(1)) * power[at - word]
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)[:-1]])
+    sofar = before - before[word]
+    previous = np.where(word > first, sofar[np.maximum(word - 1, 0)], np.uint64(0))
+    out.append((sofar + previous * NODE + np.uint64(N)) * MUL)
+    return flat, np.repeat(np.arange(len(parts)), size), out
+
+
+def bits_of(flat: np.ndarray, ctx: list[np.ndarray], slot_bits: int) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
+    """For each of the 8 bits: its value, and the slots of all predictors."""
+    top, down = flat.astype(np.uint64) | np.uint64(256), np.uint64(64 - slot_bits)
+    for b in range(8):
+        node = (top >> np.uint64(8 - b)) * NODE
+        yield (flat >> np.uint8(7 - b)) & np.uint8(1), ((((c ^ node) * MIX) >> down).astype(np.int64) for c in ctx)
+
+
+def count(texts: list[bytes], slot_bits: int, out: np.ndarray) -> None:
+    """Add the zeros and ones of every occurrence to uint32[N, 2 << slot_bits]."""
+    parts, _ = parts_of(texts)
+    for a, b in blocks(parts):
+        flat, _, ctx = contexts(parts[a:b])
+        for bit, slots in bits_of(flat, ctx, slot_bits):
+            for k, s in enumerate(slots):
+                np.add.at(out[k], (s << 1) + bit, np.uint32(1))
+
+
+def narrow(table: np.ndarray) -> np.ndarray:
+    """Counters [..., 2] in 16 bits; where a slot has more, both are scaled alike."""
+    scale = np.minimum(1.0, 65535.0 / np.maximum(1, table.max(-1)))
+    return np.minimum(65535, np.ceil(table * scale[..., None])).astype("<u2")
+
+
+def inputs(bit: np.ndarray, slots: Iterator[np.ndarray], pairs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of one bit of all bytes, and gates. pairs: uint32[N, slots]; own: 1 where the text is in the counts."""
+    x, gate = np.empty((N, len(bit)), np.float32), np.zeros(len(bit), np.int64)
+    one, zero = own & bit, own & (1 - bit)
+    for k, s in enumerate(slots):
+        pair = pairs[k][s]
+        n0, n1 = pair & np.uint32(0xFFFF), pair >> np.uint32(16)
+        n0 -= np.minimum(n0, zero)
+        n1 -= np.minimum(n1, one)
+        gate |= ((n0 | n1) > 0).astype(np.int64) << k
+        x[k] = LOGS[n1] - LOGS[n0]
+    return np.clip(x, -LIMIT, LIMIT, out=x), gate
+
+
+def mixed(x: np.ndarray, gate: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    s = np.zeros(len(gate), np.float32)
+    for k in range(N):
+        s += x[k] * weight[k][gate]
+    return np.clip(s, -LIMIT, LIMIT, out=s)
+
+
+def start() -> tuple[np.ndarray, np.ndarray]:
+    return np.full((N, GATES), 0.3, np.float32), np.zeros((GATES, STEPS, 2))
+
+
+def learn(texts: list[bytes], table: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights move after every bit of 8 texts by the gradient of the coding cost; and what the mix met on its way."""
+    weight, seen = start()
+    pairs, slot_bits = table.view("<u4")[..., 0], int(table.shape[1]).bit_length() - 1
+    for a in range(0, len(texts), 8):
+        parts, _ = parts_of(texts[a : a + 8])
+        flat, _, ctx = contexts(parts)
+        own = np.ones(len(flat), np.uint8)
+        for bit, slots in bits_of(flat, ctx, slot_bits):
+            x, g = inputs(bit, slots, pairs, own)
+            s = mixed(x, g, weight)
+            err = bit - 1 / (1 + np.exp(-s))
+            cell = (g * STEPS + np.rint((s + LIMIT) * ((STEPS - 1) / (2 * LIMIT))).astype(np.int64)) * 2 + bit
+            seen += np.bincount(cell, minlength=seen.size).reshape(seen.shape)
+            hits = np.sqrt(np.maximum(1.0, np.bincount(g, minlength=GATES)))
+            for k in range(N):
+                weight[k] += rate * np.bincount(g, x[k] * err, GATES) / hits
+    return weight, seen
+
+
+def cost(texts: list[bytes], train: np.ndarray, model: dict) -> np.ndarray:
+    """Bits of each text with its closing byte. train: whether the text is in the counts."""
+    parts, owner = parts_of(texts)
+    out, pairs = np.zeros(len(parts)), model["table"].view("<u4")[..., 0]
+    for a, b in blocks(parts):
+        flat, part, ctx = contexts(parts[a:b])
+        own, total = train[owner[a:b]].astype(np.uint8)[part], np.zeros(len(flat))
+        for bit, slots in bits_of(flat, ctx, model["slot_bits"]):
+            x, g = inputs(bit, slots, pairs, own)
+            s = mixed(x, g, model["weight"])
+            at = (s + LIMIT) * ((STEPS - 1) / (2 * LIMIT))
+            low = np.minimum(at.astype(np.int64), STEPS - 2)
+            f, r = at - low, model["refine"].reshape(-1)
+            z = 0.5 * (s + r[g * STEPS + low] * (1 - f) + r[g * STEPS + low + 1] * f)
+            z = np.where(bit == 1, -z, z)
+            total += np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        out[a:b] = np.bincount(part, total, b - a)
+    return np.bincount(owner, out, len(texts)) / np.log(2)

@@ -1,0 +1,39 @@
+"""All bytes of every text are coded."""
+
+import numpy as np
+
+from lumenforge.llm import bytecoder, lmscore
+from lumenforge.llm.common import table
+
+from . import cases
+
+
+def model_of(texts, bits):
+    counts = np.zeros((bytecoder.N, 2 << bits), np.uint32)
+    bytecoder.count(texts, bits, counts)
+    wide = bytecoder.narrow(counts.reshape(bytecoder.N, -1, 2))
+    w, seen = bytecoder.learn(texts, wide)
+    return counts, {"slot_bits": bits, "table": wide, "weight": w, "refine": lmscore.refine_map(seen)}
+
+
+def test_every_occurrence_counts_and_next_bytes_are_a_distribution():
+    texts = [b"the cat sat", b"the cat ran", b""] * 3
+    counts, m = model_of(texts, 12)
+    assert (counts.sum(1) == 8 * sum(len(t) + 1 for t in texts)).all()
+    held = lambda ts: bytecoder.cost(ts, np.zeros(len(ts), bool), m)
+    short = [bytes([a]) for a in range(255)]
+    assert 0 < (2.0 ** -held([b"", *short])).sum() <= 1 + 1e-6
+    # a context across words: what follows "the " is known
+    assert held([b"the cat"])[0] < held([b"the tac"])[0] and np.isfinite(held([b"x" * 600_000, b""])).all()
+
+
+def test_bits_of_all_rows(spark):
+    rows = cases.rows(1, False)
+    out = lmscore.score_text(cases.frame(spark, 1, False), slot_bits=12, most_words=50).collect()
+    assert sorted(r.n_bytes for r in out) == sorted(len((r[1] or "").encode()) for r in rows)
+    assert all(r.bits_per_byte > 0 and np.isfinite(r.bits_per_byte) for r in out)
+
+
+def test_held_out_bits_per_byte(spark, medium):
+    r = lmscore.op1(table(spark, medium, "documents")).filter("held_out").selectExpr("sum(bits_per_byte * n_bytes) / sum(n_bytes) AS b").first()
+    assert 0.2 < r.b < 3.5
