@@ -20,11 +20,8 @@ def id_crc(col: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints/lumenforge"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder that all executors see: the session's, or else one in the warehouse, which a cluster shares too."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
