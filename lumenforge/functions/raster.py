@@ -290,24 +290,27 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def match_phrase(text: str, true_distance: bool = False) -> str | None:
-    """The first phrase that the text holds.
-
-    By default slips are not forgiven, but for phrases of three letters a text
-    with an i among its last two characters counts, as in the scores this has to
-    agree with. ``true_distance`` forgives one slip in short phrases and two in
-    others, which gives other results.
-    """
+def slips_of(p: str) -> int:
+    """Slips of reading that a phrase forgives."""
+    return 1 if len(p) <= 5 else 2
+
+
+def nearly_in(text: str, p: str, slips: int) -> bool:
+    """Whether some stretch of the text, as long as p or one longer, is within that distance of p; stretches at the end may be shorter."""
+    n = len(p)
+    stretches = ((text[i : i + n], text[i : i + n + 1]) for i in range(len(text) - n + slips + 1))
+    return any(distance(s, p) <= slips or (len(more) > n and distance(more, p) <= slips) for s, more in stretches)
+
+
+def bare(phrase: str) -> str:
+    return "".join(c for c in phrase if c not in "·_- ").lower()
+
+
+def match_phrase(text: str) -> str | None:
+    """The first phrase, in order, that the text holds with few enough slips; texts of less than three letters hold none."""
     if len(text) < 3:
         return None
-    for phrase in PHRASES:
-        p = "".join(c for c in phrase if c not in "·_- ").lower()
-        if p in text or (len(p) == 3 and not true_distance and "i" in text[-2:]):
-            return phrase
-        slips = 1 if len(p) <= 5 else 2
-        if true_distance and any(distance(text[i : i + len(p)], p) <= slips for i in range(max(1, len(text) - len(p) + 1))):
-            return phrase
-    return None
+    return next((phrase for phrase in PHRASES for p in [bare(phrase)] if p in text or nearly_in(text, p, slips_of(p))), None)
 
 
 def regions(width: int, height: int) -> list[tuple[int, int, int, int]]:
@@ -322,7 +325,7 @@ def bands(density: np.ndarray, lo: float = 0.02, hi: float = 0.55, least: int =
     return [(int(a), int(b)) for a, b in runs if b - a >= least][:most]
 
 
-def visible_mark(rgb: np.ndarray, true_distance: bool = False) -> tuple[float, str, bool]:
+def visible_mark(rgb: np.ndarray) -> tuple[float, str, bool]:
     """Score, detail and whether to stop: the first region, polarity and band whose text holds a phrase."""
     h, w = rgb.shape[:2]
     if w < 64 or h < 64:
@@ -335,7 +338,7 @@ def visible_mark(rgb: np.ndarray, true_distance: bool = False) -> tuple[float, s
         for bits in (lit, ~lit):
             for a, b in bands(bits.mean(1)):
                 g = glyphs(bits[a:b])
-                if len(g) >= 3 and (hit := match_phrase(normal(read_glyphs(g)), true_distance)):
+                if len(g) >= 3 and (hit := match_phrase(normal(read_glyphs(g)))):
                     return 0.99, f"visible-watermark:{hit}", True
     return 0.5, "visible-watermark:none", False
 
