@@ -1,20 +1,29 @@
 """Exact top-k by inner product with pivot-table elimination.
 
-Vectors are quantised to integers; with all distances to a set of pivots known, the
-triangle inequality gives d(q, x) >= max_p |d(q, p) - d(x, p)|, and so an upper
-bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates of a block are
-evaluated in the order of that bound, until no bound reaches a query's k-th best
-score; the answer is exact, and ties go to the smaller id.
-
-Queries go out in blocks of ``block`` (a bounded broadcast), each against all
+Vectors become integers. With the distances to a set of pivots known, the triangle
+inequality gives d(q, x) >= max_p |d(q, p) - d(x, p)|, and so an upper bound of the
+inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates of a batch lie in groups by
+their nearest pivot; a group's row of the pivot table is the range of distances to
+each pivot, so a query is bounded against a group at once. Each query takes the groups
+in the order of its own bounds and stops when none reaches its k-th best score, which
+starts from the sample that pivots are chosen from (rows of the table themselves).
+The answer is exact, and ties go to the smaller id.
+
+Whether anything is eliminated is up to the data: groups apart from each other are,
+directions without structure are not (README has figures).
+
+Queries go out in blocks of ``block_bytes`` (a bounded broadcast), each against all
 rows; every task returns k rows for each query at most, and the best k of those are
-kept. Rows with a null id, a null vector, null or non-finite components, or
-another length than the pivots take no part. Repeated candidate rows stay apart; a
-repeated query counts once.
+kept. Rows with a null id, a null or empty vector, or null or non-finite components
+take no part; vectors are compared with those of the same length. Repeated candidate
+rows stay apart; query rows of one id and vector count once, and of one id with
+different vectors are one query. Products are exact: in floating point as long as no
+sum can reach 2^53, else in whole numbers, which saturate at the limits of a long.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,50 +56,155 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2.0 * (x @ p.T)))
 
 
-def search_block(q: np.ndarray, q_id: np.ndarray, q_piv: np.ndarray, x: np.ndarray, x_id: np.ndarray, pivots: np.ndarray, k: int, best: list[np.ndarray], step: int = 1024) -> None:
-    """Bring the best scores and ids of each query (rows sorted by score down, id up) up to date with the candidates x."""
-    x_piv, qq, xx = distances(x, pivots), (q**2).sum(1), (x**2).sum(1)
-    bound = np.zeros((len(q), len(x)))
-    for p in range(len(pivots)):
-        np.maximum(bound, np.abs(q_piv[:, p, None] - x_piv[None, :, p]), out=bound)
-    upper = (qq[:, None] + xx[None, :] - bound**2) / 2.0 + 1e-6 * (1.0 + qq[:, None] + xx[None, :])
-    order = np.argsort(-upper.max(0), kind="stable")
-    rest = np.maximum.accumulate(upper[:, order][:, ::-1], axis=1)[:, ::-1]  # best bound from here on
-    for a in range(0, len(x), step):
-        alive = np.flatnonzero(rest[:, a] >= best[0][:, -1])
+def products(q: np.ndarray, x: np.ndarray, small: bool) -> np.ndarray:
+    """Inner products as whole numbers; small: no sum can reach 2^53."""
+    if small:
+        return (q @ x.T).astype(np.int64)
+    whole = np.array([[int(c) for c in row] for row in q], dtype=object) @ np.array([[int(c) for c in row] for row in x], dtype=object).T
+    return np.clip(whole, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
+
+
+class Best:
+    """The k best scores and ids of each query, best first; of equal scores the smaller id."""
+
+    NONE = -(1 << 63)
+
+    def __init__(self, n: int, k: int) -> None:
+        self.score, self.id = np.full((n, k), self.NONE, np.int64), np.full((n, k), (1 << 63) - 1, np.int64)
+
+    def least(self) -> np.ndarray:
+        return self.score[:, -1]
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        n, k = self.score.shape
+        touched = np.unique(row)
+        rows = np.concatenate([np.repeat(touched, k), row])
+        every = np.concatenate([self.score[touched].ravel(), score])
+        id_ = np.concatenate([self.id[touched].ravel(), ids])
+        order = np.lexsort((id_, ~every, rows))
+        rows, at = rows[order], np.arange(len(order))
+        place = at - np.maximum.accumulate(np.where(np.concatenate([[True], rows[1:] != rows[:-1]]), at, 0))
+        keep = place < k
+        self.score[rows[keep], place[keep]], self.id[rows[keep], place[keep]] = every[order][keep], id_[order][keep]
+
+
+class Queries:
+    """A block's queries of one length, with their row of the pivot table and a score that their k-th best reaches for sure."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, pivots: int, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        self.pivots = choose_pivots(sample, pivots) if len(sample) else np.zeros((0, q.shape[1]))
+        self.table, self.norm = distances(q, self.pivots), (q**2).sum(1)
+        self.top = float(np.abs(q).max(initial=0))
+        self.floor = np.full(len(q), Best.NONE, np.int64)
+        small = self.top * float(np.abs(sample).max(initial=0)) * q.shape[1] < 2**53
+        for a in range(0, len(q), 1024):
+            s = products(q[a : a + 1024], sample, small)
+            s[ids[a : a + 1024, None] == sample_ids[None]] = Best.NONE
+            if s.shape[1] >= k:
+                self.floor[a : a + 1024] = np.partition(s, -k, axis=1)[:, -k]
+
+
+def search(qs: Queries, x: np.ndarray, x_id: np.ndarray, best: Best) -> int:
+    """Bring the best up to date with the candidates x; how many pairs were evaluated."""
+    small = qs.top * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**53
+    table, norm = distances(x, qs.pivots), (x**2).sum(1)
+    nearest = table.argmin(1) if len(qs.pivots) else np.zeros(len(x), int)
+    order = np.argsort(nearest, kind="stable")
+    x, x_id, table, norm = x[order], x_id[order], table[order], norm[order]
+    start = np.flatnonzero(np.concatenate([[True], np.diff(nearest[order]) > 0]))
+    stop = np.append(start[1:], len(x))
+    low, high, widest = (np.minimum.reduceat(table, start), np.maximum.reduceat(table, start), np.maximum.reduceat(norm, start))
+    bound = np.zeros((len(qs.q), len(start)))
+    for p in range(len(qs.pivots)):
+        d = qs.table[:, p, None]
+        np.maximum(bound, np.maximum(low[None, :, p] - d, d - high[None, :, p]), out=bound)
+    upper = (qs.norm[:, None] + widest[None] - bound**2) / 2.0
+    upper += 1e-9 * (1.0 + qs.norm[:, None] + widest[None])  # what rounding may take
+    turn, evaluated = np.argsort(-upper, axis=1, kind="stable"), 0
+    for r in range(len(start)):
+        group = turn[:, r]
+        least = np.maximum(best.least(), qs.floor)
+        alive = np.flatnonzero(upper[np.arange(len(group)), group] >= least)
         if not len(alive):
             break
-        cols = order[a : a + step]
-        cols = cols[(upper[np.ix_(alive, cols)] >= best[0][alive, -1:]).any(0)]
-        if not len(cols):
-            continue
-        s = q[alive] @ x[cols].T
-        s[q_id[alive][:, None] == x_id[cols][None, :]] = -np.inf
-        score = np.hstack([best[0][alive], s])
-        ids = np.hstack([best[1][alive], np.broadcast_to(x_id[cols], s.shape)])
-        top = np.lexsort((ids, -score), axis=1)[:, :k]
-        best[0][alive], best[1][alive] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 16, pivot_sample: int = 2000, block: int = 4096) -> DataFrame:
-    """The k best rows of ``vectors`` for each row of ``queries`` (both vec_id, v), but the query's own id."""
+        alive = alive[np.argsort(group[alive], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(group[alive]) > 0, [True]]))
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows, g = alive[a:b], group[alive[a]]
+            s = products(qs.q[rows], x[start[g] : stop[g]], small)
+            evaluated += s.size
+            i, j = np.nonzero(s >= least[rows, None])
+            found.append((rows[i], x_id[start[g] + j], s[i, j]))
+        row, ids, score = (np.concatenate(c) for c in zip(*found))
+        other = qs.ids[row] != ids
+        if other.any():
+            best.add(row[other], ids[other], score[other])
+    return evaluated
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def scan(vectors: DataFrame, sent, k: int, batch: int = 8192, block: int = 4096) -> DataFrame:
+    """Each task's k best rows for each query. sent: Queries by length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [(n, a, part) for n, qs in sent.value.items() for a in range(0, len(qs.ids), block) for part in [part_of(qs, a, a + block)]]
+        best = {(n, a): Best(len(part.ids), k) for n, a, part in blocks}
+
+        def close(n: int, rows: list, ids: list) -> None:
+            x, x_id = np.array(rows, np.float64), np.array(ids, np.int64)
+            for m, a, part in blocks:
+                if m == n:
+                    search(part, x, x_id, best[n, a])
+
+        held: dict[int, tuple[list, list]] = {n: ([], []) for n in sent.value}
+        for pdf in batches:
+            for i, v in zip(pdf["vec_id"].tolist(), pdf["v"]):
+                if len(v) in held:
+                    rows, ids = held[len(v)]
+                    rows.append(v)
+                    ids.append(i)
+                    if len(ids) == batch:
+                        close(len(v), rows, ids)
+                        held[len(v)] = ([], [])
+        for n, (rows, ids) in held.items():
+            if ids:
+                close(n, rows, ids)
+        for n, a, part in blocks:
+            row, col = np.nonzero(best[n, a].id < (1 << 63) - 1)
+            yield pd.DataFrame({"query_id": part.ids[row], "vec_id": best[n, a].id[row, col], "score": best[n, a].score[row, col]})
+
+    return vectors.mapInPandas(run, FOUND)
+
+
+def part_of(qs: Queries, a: int, b: int) -> Queries:
+    out = copy.copy(qs)
+    for name in ("ids", "q", "table", "norm", "floor"):
+        setattr(out, name, getattr(qs, name)[a:b])
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 2000, block_bytes: int = 1 << 24) -> DataFrame:
+    """The k best rows of ``vectors`` for each row of ``queries`` (both vec_id, v), but the query's own id. Pivots come from ``sample`` rows of each length, by their ids' hashes."""
     spark = vectors.sparkSession
-    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).collect()]
-    schema = "query_id long, vec_id long, score long"
-    if not sample:
-        return spark.createDataFrame([], schema.replace("query_id long", "query_id long, rank int"))
-    width = max({len(v) for v in sample}, key=lambda n: (sum(len(v) == n for v in sample), n))
-    piv = choose_pivots(np.array([v for v in sample if len(v) == width]), pivots)
-    vectors = vectors.filter(F.size("v") == width)
-    n = max(1, -(-queries.count() // block))
-    numbered = queries.filter(F.size("v") == width).dropDuplicates(["vec_id", "v"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    queries = queries.dropDuplicates(["vec_id", "v"])
+    size = queries.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
+    n = -(-size // block_bytes)
+    numbered = queries.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, n))).cast("int"))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect() if n else []
     parts = []
     for b in range(n):
-        got = numbered.filter(F.col("b") == b).collect()
-        if got:
-            q = np.array([r["v"] for r in got], dtype=np.float64)
-            sent = spark.sparkContext.broadcast((q, np.array([r["vec_id"] for r in got]), distances(q, piv), piv))
-            found = _scan(vectors, sent, k, schema)
+        got, by = numbered.filter(F.col("b") == b).collect(), {}
+        for length in sorted({len(r["v"]) for r in got}):
+            mine, seen = [r for r in got if len(r["v"]) == length], [r for r in rows if len(r["v"]) == length]
+            ids, s_ids = (np.array([r["vec_id"] for r in x], np.int64) for x in (mine, seen))
+            q, s = (np.array([r["v"] for r in x], np.float64).reshape(-1, length) for x in (mine, seen))
+            by[length] = Queries(ids, q, s, s_ids, pivots, k)
+        if by:
+            found = scan(vectors, spark.sparkContext.broadcast(by), k)
             parts.append(cut(found) if n > 1 else found)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -98,22 +212,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 16,
     return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(vectors: DataFrame, sent, k: int, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, q_id, q_piv, piv = sent.value
-        best = [np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)]
-        for pdf in batches:
-            ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64)
-            for a in range(0, len(ids), 4096):
-                for c in range(0, len(q), 256):
-                    one = slice(c, c + 256)
-                    search_block(q[one], q_id[one], q_piv[one], x[a : a + 4096], ids[a : a + 4096], piv, k, [best[0][one], best[1][one]])
-        row, col = np.nonzero(np.isfinite(best[0]))
-        yield pd.DataFrame({"query_id": q_id[row], "vec_id": best[1][row, col], "score": best[0][row, col].astype(np.int64)})
-
-    return vectors.mapInPandas(run, schema)
-
-
 def op9(emb: DataFrame) -> DataFrame:
     """Queries: rows whose vec_id is divisible by 50."""
     v = quantised(emb)
