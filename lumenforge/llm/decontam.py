@@ -11,8 +11,9 @@ sampled suffix positions, and the occurrences merge into removal spans.
 Phrases: every 10 consecutive words of an item; an item of fewer words, but not
 none, is one phrase. Null texts have no words. An item with a null id still hits
 but is not listed. Items with the same id count once. The benchmark goes out in
-blocks of at most ``block_bytes`` of text, one pass over the corpus for each, so
-the broadcast is bounded whatever its size. Narrow: nothing is shuffled.
+blocks of about ``block_words`` words (at most one item more), one pass over the corpus
+for each, written before the next; so a worker holds one block's phrases, some 50 bytes
+a word, whatever the benchmark's size. Narrow: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW, SAMPLE = 10, 8
 #: Bytes that belong to words, after A-Z are made small: digits, letters, and all bytes of characters beyond ASCII.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -36,22 +40,51 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The phrases of a block of benchmark items, as word numbers from 2 on (0 ends a shard, 1 is a break)."""
+    """The phrases of a block of benchmark items, as word numbers from 2 on (0 ends a shard, 1 is a break).
+
+    In arrays: 4 bytes for each word of each different phrase, 8 for each phrase of an
+    item, and the block's different words once.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
+        self.names = sorted({i for i, _ in items if i is not None})
+        place = {i: k for k, i in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = {}
+        owner: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.phrase = sorted(found)
-        self.items = [sorted(x for x in found[p] if x is not None) for p in self.phrase]
-        self.shortest = min(map(len, self.phrase), default=0)
-        self.by_length = {n: np.array([k for k, p in enumerate(self.phrase) if len(p) == n]) for n in sorted({len(p) for p in self.phrase})}
-        self.table = {n: np.array([self.phrase[k] for k in ks], np.int64) for n, ks in self.by_length.items()}
+            ids = np.array([self.number.setdefault(w, len(self.number) + 2) for w in words(text)], np.int32)
+            if len(ids):
+                part = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                rows.setdefault(part.shape[1], []).append(part)
+                owner.setdefault(part.shape[1], []).append(np.full(len(part), place.get(item, -1), np.int32))
+        #: by length: number of the first phrase, and the different phrases
+        self.table: dict[int, tuple[int, np.ndarray]] = {}
+        first, count, whose = 0, [], []
+        for n in sorted(rows):
+            each = np.ascontiguousarray(np.concatenate(rows.pop(n)))
+            _, at, inverse = np.unique(each.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+            self.table[n] = (first, each[at])
+            pair = np.unique(np.stack([inverse.astype(np.int32), np.concatenate(owner.pop(n))], 1), axis=0)
+            pair = pair[pair[:, 1] >= 0]
+            count.append(np.bincount(pair[:, 0], minlength=len(at)))
+            whose.append(pair[:, 1])
+            first += len(at)
+        self.start = np.concatenate([[0], *map(np.ravel, count)]).cumsum()
+        self.whose = np.concatenate([np.zeros(0, np.int32), *whose])
+        self.shortest = min(self.table, default=0)
         self.alphabet = len(self.number) + 2
 
+    def nbytes(self) -> int:
+        """Of the arrays."""
+        return self.start.nbytes + self.whose.nbytes + sum(t.nbytes for _, t in self.table.values())
+
+    def items(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of some phrases: place in ``phrases`` and in ``names``."""
+        n = self.start[phrases + 1] - self.start[phrases]
+        at = np.repeat(self.start[phrases] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(phrases)), n), self.whose[at]
+
 
 class BlockRank:
     """Bits with ranks: ones before a place, by counts before each 64-bit word."""
@@ -158,7 +191,7 @@ def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, list[
     """For each document of a shard: hit words, merged spans (rows begin, end) and the items found."""
     empty = np.zeros((0, 2), np.int64)
     hits, spans, items = np.zeros(len(docs), np.int64), [empty] * len(docs), [[] for _ in docs]
-    if not phrases.phrase:
+    if not phrases.table:
         return hits, spans, items
     get = phrases.number.get
     text = np.fromiter((x for d in docs for x in (*map(get, d, repeat(1)), 1)), np.int64)
@@ -175,16 +208,16 @@ def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, list[
     index = FMIndex(np.append(text[place], 0), phrases.alphabet)
     cover = np.zeros(len(text) + 1, np.int64)
     seen_doc, seen_phrase = [], []
-    for n, rows in phrases.by_length.items():
+    for n, (first, rows) in phrases.table.items():
         for a in range(0, len(rows), 1 << 16):
-            which, lo, hi = index.find(phrases.table[n][a : a + (1 << 16)])
+            which, lo, hi = index.find(rows[a : a + (1 << 16)])
             count = hi - lo
             row = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(which) else lo
             at = place[index.locate(row)]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + n, -1)
             seen_doc.append(np.searchsorted(start, at, "right") - 1)
-            seen_phrase.append(np.repeat(rows[a : a + (1 << 16)][which], count))
+            seen_phrase.append(np.repeat(first + a + which, count))
     hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
     b, e = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
     owner = np.searchsorted(start, b, "right") - 1
@@ -192,11 +225,9 @@ def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, list[
     for d in np.unique(owner):
         spans[d] = np.stack([b[owner == d], e[owner == d]], 1) - start[d]
     pairs = np.unique(np.stack([np.concatenate(seen_doc), np.concatenate(seen_phrase)], 1), axis=0)
-    found: dict[int, set[str]] = {}
-    for d, p in pairs.tolist():
-        found.setdefault(d, set()).update(phrases.items[p])
-    for d, names in found.items():
-        items[d] = sorted(names)
+    at, name = phrases.items(pairs[:, 1])
+    for d, i in np.unique(np.stack([pairs[at, 0], name], 1), axis=0).tolist():
+        items[d].append(phrases.names[i])
     return hits, spans, items
 
 
@@ -210,19 +241,19 @@ def merge(a: list, b: list) -> list[dict]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
     held, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").filter("text IS NOT NULL").toLocalIterator():
         held.append((r["i"], r["text"]))
-        n += len(r["text"].encode("utf-8", "surrogatepass"))
-        if n >= block_bytes:
+        n += len(words(r["text"]))
+        if n >= block_words:
             yield held
             held, n = [], 0
     if held:
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 400_000, block_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 400_000, block_words: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without text, if that isn't wanted) plus dc_words, dc_spans (merged, in words) and dc_items."""
     new = "dc_words long, dc_spans array<struct<begin:long,end:long>>, dc_items array<string>"
     out = docs.withColumns({"dc_words": F.lit(0).cast("long"), "dc_spans": F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"), "dc_items": F.expr("cast(array() as array<string>)")})
@@ -257,15 +288,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         return run
 
-    def add(out: DataFrame, items: list, names: list[str]) -> DataFrame:
+    def add(out: DataFrame, items: list, names: list[str]) -> tuple[DataFrame, Broadcast]:
         kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names]
-        return out.mapInPandas(step(docs.sparkSession.sparkContext.broadcast(Phrases(items, window)), names), ", ".join([*kinds, new]))
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+        return out.mapInPandas(step(sent, names), ", ".join([*kinds, new])), sent
 
     last: list[tuple[str | None, str | None]] = []
-    for items in benchmark_blocks(benchmark, block_bytes):
-        out = add(out, last, docs.columns) if last else out
+    for items in benchmark_blocks(benchmark, block_words):
+        if last:
+            # written between passes, so that one block's phrases are held at a time
+            found, sent = add(out, last, docs.columns)
+            out = cut(found)
+            sent.unpersist()
         last = items
-    return add(out, last, [c for c in docs.columns if keep_text or c != "text"])
+    return add(out, last, [c for c in docs.columns if keep_text or c != "text"])[0]
 
 
 def items_digest(items: list[str]) -> str:

@@ -58,3 +58,38 @@ def presence(docs: list[bytes], orders: tuple[int, ...], bits: int) -> np.ndarra
     if group:
         flush()
     return out
+
+
+def cells(docs: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashed n-grams of each document: documents' numbers, in order, and cells below 2^bits, in order within each.
+
+    Long documents are marked in a table of 2^bits cells, step by step, so memory follows the step and not the document.
+    """
+    top, step = max(orders), 1 << 20
+    doc, found = [], []
+
+    def hashed(piece: bytes) -> Iterator[np.ndarray]:
+        flat = np.frombuffer(piece, np.uint8)
+        gram = np.zeros(len(flat), np.uint64)
+        for n in range(1, top + 1):
+            m = len(flat) - n + 1
+            if m < 1:
+                return
+            gram[:m] |= flat[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
+            if n in orders:
+                yield (((gram[:m] + np.uint64(n << 56)) * MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+    for k, b in enumerate(docs):
+        b = b"\0" + b + b"\0"
+        if len(b) <= 1 << 16:
+            got = np.unique(np.concatenate([np.zeros(0, np.int64), *hashed(b)]))
+        else:
+            table = np.zeros(1 << bits, bool)
+            for a in range(0, len(b), step):
+                piece = b[a : a + step + top - 1]
+                for h in hashed(piece):
+                    table[h] = True
+            got = np.flatnonzero(table)
+        doc.append(np.full(len(got), k))
+        found.append(got)
+    return (np.concatenate(doc), np.concatenate(found)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def balanced_sample(rows: DataFrame, id_col: str, label: str, size: int, max_classes: int = 1000) -> DataFrame:
+def balanced_sample(rows: DataFrame, id_col: str, label: str, size: int) -> DataFrame:
     """At most about ``size`` rows, classes as even as their counts allow.
 
     A row's key is its id's hash times its class's count, so the smallest keys
     hold about equally many of each class. Only ids and labels are sorted; the
-    rows themselves are read once more and kept by key. ``max_classes`` bounds
-    the map of counts; rarer classes beyond it are left out of the fit.
+    rows themselves are read once more and kept by key. A sample of ``size`` rows
+    can hold no more than ``size`` classes, so the most frequent ones are counted out.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(size).collect()}
     if not counts:
         return rows.limit(0)
     per = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, float(v))])

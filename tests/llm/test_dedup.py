@@ -165,7 +165,7 @@ def test_decontamination_matches_brute_force(spark, ids, blocks, monkeypatch):
     items = [("i1", " ".join(base.split()[5:30])), ("i2", "one"), (None, "two words"), ("i2", "the of x"), ("10", None), ("9", ""), ("z", " ".join(long.split()[100:115])), ("i1", " ".join(base.split()[5:30]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     whole = decontam.contamination
-    monkeypatch.setattr(decontam, "contamination", lambda d, b, **k: whole(d, b, shard_words=300, block_bytes=blocks, **k))
+    monkeypatch.setattr(decontam, "contamination", lambda d, b, **k: whole(d, b, shard_words=300, block_words=blocks, **k))
     got = Counter(tuple(r) for r in decontam.op7(cases.frame(spark, 6, ids), bench).collect())
     assert got == hits([(r[0], r[1]) for r in rows], items)
 
@@ -176,3 +176,23 @@ def test_decontamination_of_real_texts(spark, small):
     assert Counter(tuple(r) for r in decontam.op7(docs, bench).collect()) == want
     assert decontam.op7(cases.empty(spark), bench).count() == 0
     assert decontam.op7(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_phrases_are_kept_small():
+    """A block's phrases take some 50 bytes a word; every phrase has its items."""
+    import random
+
+    rng = random.Random(3)
+    items = [(f"i{k % 900}", " ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(0, 200)))) for k in range(1000)] + [(None, "w1 w2 w3")]
+    p, n = decontam.Phrases(items), sum(len(decontam.words(t)) for _, t in items)
+    assert p.nbytes() <= 60 * n
+    want = {}
+    for i, t in items:
+        w = [p.number[x] for x in decontam.words(t)]
+        for k in range(max(1, len(w) - 9) if w else 0):
+            want.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    got = {tuple(row): first + k for first, rows in p.table.values() for k, row in enumerate(rows.tolist())}
+    assert set(got) == set(want)
+    for phrase in rng.sample(sorted(want), 300):
+        _, names = p.items(np.array([got[phrase]]))
+        assert {p.names[k] for k in names} == want[phrase] - {None}

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumenforge.llm import langid, lmscore, quality
+from lumenforge.llm import langid, lmmixer, lmpairs, lmscore, lmspell, lmwords, quality
 from lumenforge.llm.common import table
 
 from . import cases
@@ -27,7 +27,7 @@ def test_base_score_is_exact(spark, ids):
     train = Counter(w for r in rows if crc(r[0]) % 7 != 2 for w in tokens(r[1]))
     n, v = sum(train.values()), len(train)
     want = sorted((str(r[0]), crc(r[0]) % 7 == 2, len(tokens(r[1])), sum(train[w] > 0 for w in tokens(r[1])), n, round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens(r[1])), 6)) for r in rows)
-    out = lmscore.score_text(cases.frame(spark, 1, ids), slot_bits=12, most_words=50).collect()
+    out = lmscore.score_text(cases.frame(spark, 1, ids), spell_bits=12, most_words=50, bucket_bytes=1000).collect()
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out)
     assert got == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
@@ -36,38 +36,183 @@ def test_base_score_is_exact(spark, ids):
 def test_lm_without_rows_or_training(spark):
     assert lmscore.op1(cases.empty(spark)).count() == 0
     held = next(i for i in range(100) if crc(i) % 7 == 2)
-    r = lmscore.score_text(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), slot_bits=10).first()
+    r = lmscore.score_text(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), spell_bits=10).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
 
 
 def test_spelling_is_a_distribution():
     words = [b"ab", b"abc", b"b", b"ca"]
-    table = np.zeros((len(lmscore.ORDERS), 1 << 10, 2), np.uint32)
-    lmscore.count_slots(words, 10, table)
-    w, seen = lmscore.learn_weights(words, table.astype("<u2"))
-    m = {"slot_bits": 10, "table": table.astype("<u2"), "weight": w, "refine": lmscore.refine_map(seen)}
+    table = np.zeros((len(lmspell.ORDERS), 2 << 10), np.uint32)
+    lmspell.count_slots(words, 10, table)
+    speller = lmspell.Speller(lmscore.narrow(table.reshape(len(lmspell.ORDERS), 1 << 10, 2)))
+    speller.run(words, True)
     every = [bytes([a]) for a in range(256) if a != 32] + [bytes([a, b]) for a in range(256) for b in range(256) if 32 not in (a, b)]
-    p = np.exp(lmscore.spelling(every, m))
+    p = np.exp(speller.run(every, False))
     assert 0 < p.sum() <= 1 + 1e-6
     assert p[every.index(b"b")] > p[every.index(b"q")]
-    assert np.isfinite(lmscore.spelling([b"x" * 5000, b""], m)).all()
+    assert np.isfinite(speller.run([b"x" * 5000, b""], False)).all()
 
 
-def test_recent_words_match_plain_counts():
-    rng = np.random.default_rng(4)
+def test_long_words_are_spelled_across_cuts():
+    """A word of more than LONGEST bytes has the slots that it has without a cut."""
+    rng = np.random.default_rng(5)
+    word = bytes(rng.integers(97, 123, 3000).astype(np.uint8))
+    cut, whole = lmspell.Paths([b"a", word], 20), None
+    longest, lmspell.LONGEST = lmspell.LONGEST, 1 << 20
+    try:
+        whole = lmspell.Paths([b"a", word], 20)
+    finally:
+        lmspell.LONGEST = longest
+    assert (cut.slot == whole.slot).all() and (cut.bit == whole.bit).all() and (cut.word == whole.word).all()
+
+
+def test_codes_are_prefix_free_and_symbols_tell_what_is_shared():
+    rng = np.random.default_rng(6)
+    words = [b"w%d" % k for k in range(9000)]
+    count = rng.choice([1, 2, 3, 5, 9, 17, 70, 900], 9000, p=[0.3, 0.5, 0.1, 0.04, 0.03, 0.02, 0.009, 0.001])
+    k = lmwords.class_of(count)
+    codes = lmwords.short_codes({int(c): float(count[k == c].sum()) for c in np.unique(k)})
+    assert sum(2.0**-n for _, n in codes.values()) == 1 and max(n for _, n in codes.values()) <= 8
+    h = lmwords.hashes(words)
+    book = {}
+    for c, (bits, n) in codes.items():
+        small = c and (k == c).sum() <= lmwords.RANKED
+        book[c] = (bits, n, int((k == c).sum() - 1).bit_length(), np.sort(h[k == c])) if small else (bits, n, 32 - n, None)
+    symbol, length, code, _ = lmwords.codes_of(words, count, book)
+    length = length & 127
+    assert len(set(code[count > 1].tolist())) == (count > 1).sum()
+    for s, n in {(int(a), int(b)) for a, b in zip(symbol, length)}:
+        assert ((symbol >> (8 - n)) == s >> (8 - n)).sum() == (symbol == s).sum()  # no symbol begins another
+
+
+def plain_pairs(rows):
+    """For each token: strength, agreeing bits and truth of what follows two words most often in training, but for the token's own place."""
+    count = {}
+    for _, held, w in rows:
+        if not held:
+            for i, x in enumerate(w):
+                c = count.setdefault(tuple((["", ""] + w)[i : i + 2]), Counter())
+                c[x] += 1
+    out = []
+    for _, held, w in rows:
+        for i, x in enumerate(w):
+            c = Counter(count.get(tuple((["", ""] + w)[i : i + 2]), {}))
+            if not held:
+                c[x] -= 1
+            out.append((max(c.values(), default=0), sum(c.values()), x, {y for y, n in c.items() if n == max(c.values())}))
+    return out
+
+
+def test_pairs_are_counted_over_the_corpus():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    rows = [(k, bool(k % 7 == 2), [f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 40))]) for k in range(60)]
+    words = sorted({x for _, _, w in rows for x in w})
+    ident = {x: np.uint32(0x9E3779B1) * np.uint32(k + 1) for k, x in enumerate(words)}
+    asked, places = [], []
+    for chunk, part in enumerate((rows[:25], rows[25:])):
+        code = np.array([ident[x] for _, _, w in part for x in w], np.uint32)
+        lens, train = np.array([len(w) for _, _, w in part if w]), np.concatenate([np.full(len(w), 0 if h else 1, np.uint8) for _, h, w in part])
+        key, bucket, count, place = lmpairs.requests(*lmpairs.keys_of((code >> np.uint32(24)).astype(np.uint8), code, code, lens, train, 2))
+        places.append(place)
+        asked += [(chunk, b, key[bucket == b], count[bucket == b]) for b in np.unique(bucket)]
+    said = {}
+    for b in {x[1] for x in asked}:
+        pdf = pd.DataFrame([{"bucket": b, "chunk": c, "keys": lmpairs.packed(k), "counts": lmwords.press(n.astype("<u4").tobytes())} for c, x, k, n in asked if x == b])
+        for r in lmpairs.merge_pairs(pdf).itertuples():
+            said[r.chunk, r.bucket] = lmwords.array(r.said, np.uint8)
+    got = np.concatenate([np.concatenate([said[c, b] for x, b, _, _ in asked if x == c])[places[c]] for c in (0, 1)])
+    for value, (n, all_, x, best) in zip(got, plain_pairs(rows)):
+        assert value >> 5 == lmpairs.level_of(np.array([n]), np.array([all_]))[0]
+        if n and best == {x}:
+            assert value & 1 and value >> 1 & 15 == 8
+        if n and x not in best:
+            assert not value & 1
+
+
+def test_local_predictions_match_a_plain_loop():
+    rng = np.random.default_rng(8)
     lens = np.array([1, 40, 7, 200])
-    t = rng.integers(0, 9, lens.sum()).astype(np.uint32)
-    keep, q = lmscore.recent(t, lens, 9)
-    at = 0
+    t, symbols = rng.integers(0, 9, lens.sum()).astype(np.uint32), rng.integers(0, 256, 9).astype(np.uint8)
+    level, agree, hit = lmmixer.local(t, symbols[t], lens)
+    a = 0
     for n in lens:
-        doc = t[at : at + n].tolist()
-        for i, w in enumerate(doc):
-            seen, after_n = doc[:i].count(w), doc[: i - 1].count(doc[i - 1]) if i else 0
-            after = sum(doc[j] == doc[i - 1] and doc[j + 1] == w for j in range(i - 1)) if i else 0
-            share, tail = 0.1 * i / (i + 50), 0.1 * after_n / (after_n + 1)
-            assert np.isclose(np.exp(keep[at + i]), (1 - share) * (1 - tail))
-            assert np.isclose(q[at + i], (1 - tail) * share * seen / max(1, i) + tail * after / max(1, after_n))
-        at += n
+        doc = t[a : a + n].tolist()
+        for i in range(n):
+            before = [j for j in range(1, i) if doc[j - 1] == doc[i - 1]] if i else []
+            assert level[a + i] == min(3, len(before))
+            if before:
+                said = doc[before[-1]]
+                x = int(symbols[said]) ^ int(symbols[doc[i]])
+                assert hit[a + i] == (said == doc[i]) and agree[a + i] == 8 - x.bit_length()
+        a += n
+
+
+def test_bits_are_counted_behind_their_first_bits():
+    table = np.random.default_rng(9).integers(0, 40, (3, 256)).astype(np.uint32)
+    bits = lmmixer.as_bits(table)
+    for row in range(3):
+        for j in range(8):
+            for first in range(1 << j):
+                here = [s for s in range(256) if s >> (8 - j) == first]
+                assert bits[row, (1 << j) + first].tolist() == [sum(int(table[row, s]) for s in here if s >> (7 - j) & 1 == v) for v in (0, 1)]
+
+
+def test_mixer_matches_a_plain_loop():
+    """One block of bits, token by token, with start weights; then the weights' step."""
+    rng = np.random.default_rng(10)
+    n = 300
+    table = rng.integers(0, 30, (2, 1 << lmmixer.ROWS, 256)).astype(np.uint32)
+    whole = table[0].sum(0, dtype=np.int64)[None]
+    m = lmmixer.Mixer(lmmixer.as_bits(whole), np.stack([lmmixer.as_bits(x) for x in table]))
+    symbol, rows = rng.integers(0, 256, n).astype(np.uint8), tuple(rng.integers(0, 50, n) for _ in range(2))
+    for k in range(2):
+        table[k][rows[k], symbol] += 1
+    m.pairs = [lmmixer.as_bits(x).view("<u4").reshape(-1) for x in (whole, *table)]
+    train = (rng.random(n) < 0.7).astype(np.uint8)
+    said = [(rng.integers(0, 8, n).astype(np.uint8), rng.integers(0, 9, n).astype(np.uint8), rng.random(n) < 0.5) for _ in range(2)]
+    said[1][0][:] = np.minimum(said[1][0], 3)
+    m.held = rng.integers(1, 50, m.held.shape).astype(float)
+    held, weight = m.held.copy(), m.weight.copy()
+    j = 3
+    got = m.step(symbol.astype(np.int32), [np.zeros(n, np.int32), *((r << 8).astype(np.int32) for r in rows)], train.astype(np.uint32), [s[:2] for s in said], j)
+    centre, grads, hits = np.linspace(-8, 8, 33), np.zeros((6, 8)), np.zeros(8)
+    for i in range(n):
+        bit, node = int(symbol[i]) >> 4 & 1, (1 << j) + (int(symbol[i]) >> 5)
+        x = []
+        for t, r in ((lmmixer.as_bits(whole)[0], 0), (lmmixer.as_bits(table[0])[rows[0][i]], 1), (lmmixer.as_bits(table[1])[rows[1][i]], 2)):
+            c = [int(v) for v in t[node]]
+            c[bit] -= int(train[i])
+            x.append(math.log(c[1] + 0.2) - math.log(c[0] + 0.2))
+        lives = [int(s[0][i]) if s[1][i] >= j else 0 for s in said]
+        for k in range(2):
+            v = math.log(held[k, j, lives[k], 1] / held[k, j, lives[k], 0]) if lives[k] else 0.0
+            says = bit if said[k][1][i] > j else 1 - bit
+            x.append(v if says else -v)
+        x.append(0.3)
+        g = [0, 1, 2, 3, 2, 1, 1, 1][lives[0]] + 4 * (lives[1] > 0)
+        s = max(-8.0, min(8.0, sum(w * v for w, v in zip(weight[j, :, g], x))))
+        p = 20 / (1 + math.exp(-centre[int((s + 8) * 2 + 0.5)]))
+        z = 0.5 * (s + math.log((p + 1e-3) / (20 - p + 1e-3)))
+        assert got[i] == pytest.approx(math.log1p(math.exp(-z if bit else z)), abs=1e-3)
+        hits[g] += train[i]
+        grads[:, g] += train[i] * (bit - 1 / (1 + math.exp(-s))) * np.array(x)
+    assert np.allclose(m.weight[j], weight[j] + 0.02 * grads / np.sqrt(np.maximum(1, hits)), atol=2e-3)
+
+
+def test_copies_are_scored_apart(spark):
+    """Texts that training holds elsewhere cost far less than texts like them that it doesn't."""
+    rng = np.random.default_rng(11)
+    train = [i for i in range(4000) if crc(i) % 7 != 2][:400]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 60)) for _ in train]
+    for k in range(20):
+        texts[2 * k + 1] = texts[2 * k]
+    out = lmscore.op1(spark.createDataFrame(list(zip(train, texts)), "doc_id long, text string").repartition(3)).collect()
+    bits = {r.doc_id: r.bits_per_token for r in out}
+    copies, others = [bits[i] for i in train[:40]], [bits[i] for i in train[40:]]
+    assert max(copies) < 0.5 * min(others)
+    assert all(r.bits_per_byte == pytest.approx(r.total_bits / r.n_bytes) and r.score == pytest.approx(-r.total_bits * math.log10(2)) for r in out)
 
 
 def test_lm_beats_base_on_held_out(spark, medium):
@@ -95,14 +240,60 @@ def test_language_id_of_odd_rows(spark, ids):
     assert {r.lang_pred for r in langid.op2(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
-def test_kernel_counts_shared_ngrams():
-    x = langid.presence([b"abab", b"abc"], (1, 2), 13).astype(np.float32)
-    z = x / np.sqrt(x.sum(1))[:, None]
-    k = langid.kernel(x, z)
-    grams = [{b"\0a\0"[i : i + n] for n in (1, 2) for i in range(1)} for _ in range(2)]
-    assert grams and k[0, 0] == pytest.approx(1.0) and k[0, 1] == pytest.approx(k[1, 0])
-    mine = [{s[i : i + n] for n in (1, 2) for i in range(len(s) - n + 1)} for s in (b"\0abab\0\0", b"\0abc\0\0")]
-    assert k[0, 1] == pytest.approx(len(mine[0] & mine[1]) / math.sqrt(len(mine[0]) * len(mine[1])), abs=1e-5)
+def plain_grams(b):
+    b = b"\0" + b + b"\0"
+    return {b[i : i + n] for n in (1, 2, 3, 4) for i in range(len(b) - n + 1)}
+
+
+def test_kernel_and_ridge_match_plain_ones():
+    """Kernel by sets of n-grams; ridge regression on Nyström features by a general solver; predictions by the kernel itself."""
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.choice(list(b"abcde " if k % 2 else b"cdefg "), rng.integers(0, 300)).astype(np.uint8)) for k in range(60)]
+    grams = [plain_grams(t) for t in texts]
+    k = np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in grams] for x in grams])
+    doc, _ = langid.cells(texts, langid.ORDERS, 40)
+    assert [len(g) for g in grams] == np.bincount(doc, minlength=60).tolist()
+    doc, cell = langid.cells(texts, langid.ORDERS, langid.BITS)
+    marks = langid.Landmarks([cell[doc == m] for m in range(0, 60, 4)])
+    got = marks.times(texts, marks.rows)
+    assert np.allclose(got, k[:, ::4], atol=2e-3) and np.allclose(marks.among(), k[::4, ::4], atol=2e-3)
+    labels = ["odd" if m % 2 else "even" for m in range(60)]
+    model = langid.solve(marks, labels, got.astype(float))
+    values, vectors = np.linalg.eigh(k[::4, ::4])
+    whiten = vectors / np.sqrt(values)
+    phi = np.hstack([k[:, ::4] @ whiten, np.ones((60, 1))])
+    y = np.array([[1.0, -1.0] if m == "even" else [-1.0, 1.0] for m in labels])
+    stacked = np.vstack([phi, math.sqrt(langid.RIDGE * 60 * 0.1) * np.eye(phi.shape[1])])
+    coef = np.linalg.lstsq(stacked, np.vstack([y, np.zeros((phi.shape[1], 2))]), rcond=None)[0]
+    assert np.allclose(marks.times(texts, model["right"]) + model["bias"], phi @ coef, atol=0.03)
+    names, score = langid.predict(texts, [t.decode() for t in texts], model)
+    assert all(n == model["names"][int((phi @ coef)[m].argmax())] for m, n in enumerate(names) if n != "und" and abs((phi @ coef)[m][0]) > 0.1)
+
+
+def test_long_texts_have_their_own_ngrams():
+    """Steps and the table for long texts give the n-grams that a set gives."""
+    rng = np.random.default_rng(13)
+    t = bytes(rng.integers(97, 104, 1 << 17).astype(np.uint8))
+    doc, cell = langid.cells([b"ab", t, b""], (1, 2, 3, 4), 22)
+    assert (np.diff(cell[doc == 1]) > 0).all()
+    assert len(cell[doc == 1]) == pytest.approx(len(plain_grams(t)), rel=1e-3)
+
+
+def test_language_of_long_texts(spark, medium):
+    """Texts put end to end to 300 KB are told apart like short ones."""
+    docs = table(spark, medium, "documents")
+    model = langid.train(docs)
+    by = {}
+    for r in docs.filter("crc32(CAST(doc_id AS STRING)) % 4 = 2 AND lang IS NOT NULL").select("lang", "text").collect():
+        by.setdefault(r.lang, []).append(r.text or "")
+    for lang, texts in by.items():
+        whole = (" ".join(texts) * 40)[:300_000]
+        assert langid.predict([whole.encode().lower()], [whole], model)[0] == [lang]
+
+
+@pytest.mark.parametrize("text, letters", [("²", False), ("½", False), ("Ⅷ", False), ("12 %", False), ("", False), (None, False), ("1a", True), ("ñ", True), ("中", True)])
+def test_letters(text, letters):
+    assert langid.has_letter(text) == letters
 
 
 def test_quality_on_held_out(spark, medium):
