@@ -2,8 +2,9 @@
 
 Base kinds are those of the contract (email, ip, card, phone) and are always
 kept. Added kinds (iban, secret, ssn) need their checksum or enough context:
-``iban`` is confirmed by mod 97, ``ssn`` and ``secret`` by context words that
-stand within ``window`` code points before the span.
+``iban`` has its country's length and is confirmed by mod 97, ``ssn`` is of a range
+that is given out and, like ``secret``, confirmed by context words within ``window``
+code points before or behind the span.
 
 Null and empty texts have no spans. Work is linear in the text: each pattern is
 anchored so that a long run of one character class is not scanned again and again.
@@ -28,8 +29,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Added kinds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH = {c: n for n, cs in IBAN_LENGTHS.items() for c in cs.split()}
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])")
 
 #: Words near a span that raise or lower its score.
@@ -58,10 +66,22 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    if not 15 <= len(s) <= 34:
-        return False
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, single spaces between their characters or not; what follows is not looked at but for a letter or digit that continues them."""
+    for m in _IBAN.finditer(text):
+        n, at, got = _LENGTH.get(m.group()[:2], 0), m.start(), ""
+        while len(got) < n and at < len(text):
+            c = text[at]
+            if "A" <= c <= "Z" or "0" <= c <= "9":
+                got += c
+            elif c != " " or text[at - 1] == " ":
+                break
+            at += 1
+        if n and len(got) == n and not text[at : at + 1].isalnum() and mod97(got):
+            yield m.start(), at
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,17 +114,16 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IP.finditer(text):
         if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m.group().split(".")):
             yield "ip", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield "iban", m.start(), m.end()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
     for m in _SECRET.finditer(text):
         yield "secret", m.start(), m.end()
 
 
-def score(text: str, kind: str, start: int, window: int) -> float:
-    near = {w.lower() for w in _WORD.findall(text, max(0, start - window), start)}
+def score(text: str, kind: str, start: int, end: int, window: int) -> float:
+    near = {w.lower() for a, b in ((max(0, start - window), start), (end, end + window)) for w in _WORD.findall(text, a, b)}
     s = PRIOR[kind] + (0.3 if near & CONTEXT[kind] else 0.0) - (0.2 if near & AGAINST else 0.0)
     return min(1.0, max(0.0, s))
 
@@ -113,7 +132,7 @@ def detect(text: str | None, threshold: float = 0.5, window: int = 40) -> list[t
     """All spans (kind, start, end, score) by start, then kind; code points, end exclusive."""
     if not text:
         return []
-    found = [(k, a, b, score(text, k, a, window)) for k, a, b in propose(text)]
+    found = [(k, a, b, score(text, k, a, b, window)) for k, a, b in propose(text)]
     found = [x for x in found if x[0] in BASE or x[3] >= threshold]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
