@@ -2,13 +2,13 @@
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values
 have it. Two fingerprints that differ in at most 3 bits agree in at least 5 of
-their 8 bytes, each at its position. The index therefore holds every distinct
-fingerprint under each choice of 5 byte positions and their values; fingerprints
-under one key are candidates, their shared positional bytes are tallied, pairs
-below 5 are dropped and the others verified by counting bits.
+their 8 bytes, each at its position. The index holds every distinct fingerprint
+under 14 choices of 4 byte positions and their values, of which every choice of 5
+positions has one whole; fingerprints under one key are candidates. Their shared
+positional bytes are tallied, pairs below 5 are dropped, and the others verified by
+counting bits.
 
-A key leaves 24 bits free, so what shares a key is bounded by 2^24 fingerprints
-whatever the corpus holds. Within a key links become a spanning star of each
+A key leaves 32 bits free. Within a key links become a spanning star of each
 connected group, at most one row for each fingerprint: pairs are never listed.
 Small groups are compared directly, large ones by looking up all neighbours
 within 3 flips of the free bits; both are exact.
@@ -66,9 +66,19 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def byte_masks(need: int = 5) -> list[int]:
-    """Masks of every choice of ``need`` of the 8 byte positions, as signed longs."""
+    """Masks of byte positions, as signed longs, so that every choice of ``need`` of the 8 positions has one of them whole.
+
+    For 5: both halves of the positions, and two of either half, a pair of one half
+    meeting the pairs of the other half's matching of the same number. Of three
+    positions of a half every matching has a pair. Else every choice itself.
+    """
+    if need == 5:
+        matchings = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
+        chosen = [(0, 1, 2, 3), (4, 5, 6, 7)] + [(*a, *(p + 4 for p in b)) for m in matchings for a in m for b in m]
+    else:
+        chosen = list(combinations(range(8), need))
     out = []
-    for at in combinations(range(8), need):
+    for at in chosen:
         m = sum(0xFF << (8 * p) for p in at)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out

@@ -196,3 +196,23 @@ def test_phrases_are_kept_small():
     for phrase in rng.sample(sorted(want), 300):
         _, names = p.items(np.array([got[phrase]]))
         assert {p.names[k] for k in names} == want[phrase] - {None}
+
+
+def test_index_meets_all_pairs_within_three_bits_and_the_count_filter_rejects():
+    """Of 14 keys one is shared whenever 5 bytes are; pairs that share only the 4 bytes of a key are dropped by their tally."""
+    from itertools import combinations
+
+    masks = [m & (1 << 64) - 1 for m in simhash.byte_masks()]
+    sets = [{p for p in range(8) if m >> (8 * p) & 255} for m in masks]
+    assert len(masks) == 14 and all(len(s) == 4 for s in sets)
+    assert all(any(s <= set(five) for s in sets) for five in combinations(range(8), 5))
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63)) << 1
+        b = a
+        for bit in rng.choice(64, 3, replace=False):
+            b ^= 1 << int(bit)
+        assert any(a & m == b & m for m in masks)
+    a = np.array([0], np.uint64)
+    four = np.array([0x0101010100000000], np.uint64)  # 4 bits in 4 bytes
+    assert any(int(four[0]) & m == 0 for m in masks) and not simhash.near(a, four, 5, 64).any() and simhash.near(a, four, 4, 64).all()

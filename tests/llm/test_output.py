@@ -89,6 +89,11 @@ def test_pii_added_kinds_need_their_checks():
     kinds = lambda t: [k for k, *_ in pii.detect(t)]
     assert "iban" in kinds("pay DE89 3704 0044 0532 0130 00 now") and "iban" not in kinds("pay DE88 3704 0044 0532 0130 00 now")
     assert kinds("my ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert [x[:3] for x in pii.detect("to DE89370400440532013000 NOW") if x[0] == "iban"] == [("iban", 3, 25)]
+    assert [x[:3] for x in pii.detect("to DE89 3704 0044 0532 0130 00 NOW") if x[0] == "iban"] == [("iban", 3, 30)]
+    assert "iban" not in kinds("DE89 3704 0044 0532 0130 001") and "iban" not in kinds("ZZ89 3704 0044 0532 0130 00")
+    assert kinds("123-45-6789 is my social security number") == ["ssn"]
+    assert not any("ssn" in kinds(f"my ssn {x}") for x in ("000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000"))
     assert "secret" in kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') and "secret" not in kinds("04dbebab91ab85687d33eeaaf9ac699e1188f962")
 
 
