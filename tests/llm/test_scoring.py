@@ -103,19 +103,21 @@ def plain_pairs(rows):
     return out
 
 
-def test_pairs_are_counted_over_the_corpus():
+@pytest.mark.parametrize("bits", [2, lmpairs.ONE_SORT + 1])
+def test_pairs_are_counted_over_the_corpus(bits):
     import pandas as pd
 
     rng = np.random.default_rng(7)
     rows = [(k, bool(k % 7 == 2), [f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 40))]) for k in range(60)]
     words = sorted({x for _, _, w in rows for x in w})
-    ident = {x: np.uint32(0x9E3779B1) * np.uint32(k + 1) for k, x in enumerate(words)}
+    ident = {x: np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF) for k, x in enumerate(words)}
     asked, places = [], []
     for chunk, part in enumerate((rows[:25], rows[25:])):
         code = np.array([ident[x] for _, _, w in part for x in w], np.uint32)
         lens, train = np.array([len(w) for _, _, w in part if w]), np.concatenate([np.full(len(w), 0 if h else 1, np.uint8) for _, h, w in part])
-        key, bucket, count, place = lmpairs.requests(*lmpairs.keys_of((code >> np.uint32(24)).astype(np.uint8), code, code, lens, train, 2))
-        places.append(place)
+        keys = lmpairs.keys_of((code >> np.uint32(24)).astype(np.uint8), code, code, lens, train, bits)
+        key, bucket, count = lmpairs.requests(*keys, bits)
+        places.append(lmpairs.places(*keys, bits))
         asked += [(chunk, b, key[bucket == b], count[bucket == b]) for b in np.unique(bucket)]
     said = {}
     for b in {x[1] for x in asked}:
@@ -177,11 +179,12 @@ def test_mixer_matches_a_plain_loop():
     held, weight = m.held.copy(), m.weight.copy()
     j = 3
     got = m.step(symbol.astype(np.int32), [np.zeros(n, np.int32), *((r << 8).astype(np.int32) for r in rows)], train.astype(np.uint32), [s[:2] for s in said], j)
+    bits = [lmmixer.as_bits(x) for x in (whole, *table)]
     centre, grads, hits = np.linspace(-8, 8, 33), np.zeros((6, 8)), np.zeros(8)
     for i in range(n):
         bit, node = int(symbol[i]) >> 4 & 1, (1 << j) + (int(symbol[i]) >> 5)
         x = []
-        for t, r in ((lmmixer.as_bits(whole)[0], 0), (lmmixer.as_bits(table[0])[rows[0][i]], 1), (lmmixer.as_bits(table[1])[rows[1][i]], 2)):
+        for t in (bits[0][0], bits[1][rows[0][i]], bits[2][rows[1][i]]):
             c = [int(v) for v in t[node]]
             c[bit] -= int(train[i])
             x.append(math.log(c[1] + 0.2) - math.log(c[0] + 0.2))
