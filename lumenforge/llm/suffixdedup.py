@@ -30,7 +30,7 @@ Null texts count as empty; texts shorter than ``length`` keep everything. Rows w
 equal id and text count as one document and get equal results; rows with equal
 ids and different texts are ordered by the texts' digests; null ids come first.
 Memory follows segments (2 MB of text), tuples of a task and buckets, and there
-are as many buckets as four times the shuffle partitions.
+is a bucket for each 8 MB of text (four for a shuffle partition at least).
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from .common import cut, fresh_dir, partitions, remove_dir
 
-LENGTH, NAME, SEGMENT = 100, 40, 2 << 20
+LENGTH, NAME, SEGMENT, BUCKET = 100, 40, 2 << 20, 8 << 20
 _ROOT = 0x9E3779B97F4A7C15
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -401,13 +401,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return left.join(right, left["doc_id"].eqNullSafe(right["d2"]) & (left["sha"] == right["s2"])).select("doc_id", "text", "key"), False
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFrame:
-    """docs: key (distinct longs), text without nulls. Rows key, n_bytes, spans (removed runs, in bytes), kept_sha256."""
+def find_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, bucket_bytes: int = BUCKET) -> DataFrame:
+    """docs: key (distinct longs), text without nulls. Rows key, n_bytes, spans (removed runs, in bytes), kept_sha256. A bucket for each bucket_bytes of text."""
     spark = docs.sparkSession
-    buckets, parts = 4 * partitions(spark), partitions(spark)
-    docs = docs.select("key", "text")
+    docs, parts = docs.select("key", "text"), partitions(spark)
     ids = cut(docs.select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
-    first = ids.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("key").alias("one"), F.count("*").alias("many")).filter("many > 1").select("sha", "one")
+    buckets = max(4 * parts, (ids.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes)
+    # on its own, so that the join below deals out what one digest's many rows would load on one task
+    first = cut(ids.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("key").alias("one"), F.count("*").alias("many")).filter("many > 1").select("sha", "one"))
     copies = cut(ids.join(first, "sha").filter("key <> one").select("key"))
 
     tuples = docs.mapInPandas(lambda it: sample_tuples(it, buckets, length, name), TUPLES)
