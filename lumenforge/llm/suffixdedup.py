@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_dir, partitions, remove_dir
+from .common import cut, fresh_dir, let_go, partitions, remove_dir
 
 LENGTH, NAME, SEGMENT, BUCKET = 100, 40, 2 << 20, 8 << 20
 _ROOT = 0x9E3779B97F4A7C15
@@ -416,6 +416,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, bucket
     marked = sorted_names.groupBy("key").agg(F.collect_list("places").alias("places")).join(copies, "key", "left_anti")
     at = fresh_dir(spark, "repeats")
     docs.join(marked, "key").write.option("compression", "zstd").parquet(at)
+    del tuples, sorted_names, marked, first
+    let_go(spark)
     held = spark.read.schema("key long, text string, places array<binary>").parquet(at)
 
     induced = held.mapInPandas(lambda it: induce(it, buckets, length, name), f"{CONTEXTS}, key long, spans binary")
