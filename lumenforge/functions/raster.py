@@ -346,3 +346,14 @@ def visible_mark(rgb: np.ndarray) -> tuple[float, str, bool]:
 def pixel_mark(p: float) -> tuple[float, bool]:
     """A pixel mark's verdict from a head's probability."""
     return (max(p, 0.95), True) if p >= 0.55 else (0.5 + 0.2 * (p - 0.5), False)
+
+
+def written(text: str, width: int, height: int, left: int = 6, below: int = 20, size: int = 2) -> np.ndarray:
+    """A black raster with a text in the glyphs of the table, white, at the lower left."""
+    out, table = np.zeros((height, width, 3), np.uint8), dict(GLYPHS)
+    for k, c in enumerate(text):
+        for i, bit in enumerate(table[c]):
+            if bit == "1":
+                y, x = height - below + (i // 5) * size, left + k * (6 * size + 1) + (i % 5) * size
+                out[y : y + size, x : x + size] = 255
+    return out

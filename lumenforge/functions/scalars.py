@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,3 +99,20 @@ def sniff_extension(content: Column | str) -> Column:
     long = lambda n: F.octet_length(c) >= n
     out = F.when(_starts(c, "FFD8FF"), "jpg").when(_starts(c, "89504E47") & long(8), "png").when(_starts(c, "52494646") & long(12), "webp")
     return out.when(F.contains(head, F.lit("<svg")) | F.contains(head, F.lit("<?xml")), "svg").otherwise("bin")
+
+
+def first_phrase(text: Column, phrases: list[str]) -> Column:
+    """The first phrase, in order, that a normalised text of three letters or more holds, or nearly holds: a stretch as long as the phrase or one longer is within one slip (phrases of up to five letters) or two. Stretches at the text's end may be shorter."""
+    bare = [re.sub("[·_ -]", "", p).lower() for p in phrases]
+    rows = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(b).alias("p"), F.lit(len(b)).alias("n"), F.lit(1 if len(b) <= 5 else 2).alias("slips")) for p, b in zip(phrases, bare)])
+
+    def held(x: Column) -> Column:
+        last = F.length(text) - x["n"] + x["slips"]
+
+        def near(i: Column) -> Column:
+            more = F.substring(text, i + 1, x["n"] + 1)
+            return (F.levenshtein(F.substring(text, i + 1, x["n"]), x["p"]) <= x["slips"]) | ((F.length(more) > x["n"]) & (F.levenshtein(more, x["p"]) <= x["slips"]))
+
+        return F.contains(text, x["p"]) | ((last >= 0) & F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), near))
+
+    return F.when(F.length(text) >= 3, F.get(F.filter(rows, held), F.lit(0))["phrase"])

@@ -56,7 +56,7 @@ def softmax_pick(logits: Column, k: int) -> Column:
 
 
 def arrays(pdf: pd.DataFrame) -> list[np.ndarray | None]:
-    return [None if b is None else np.frombuffer(b, np.uint8).reshape(h, w, 3) for w, h, b in zip(pdf["width"], pdf["height"], pdf["rgb"])]
+    return [None if b is None else np.frombuffer(b, np.uint8).reshape(int(h), int(w), 3) for w, h, b in zip(pdf["width"], pdf["height"], pdf["rgb"])]
 
 
 def rasters(files: DataFrame) -> DataFrame:
@@ -133,11 +133,13 @@ def second_head(rows: DataFrame, needs: Column, head: str) -> DataFrame:
     return rows.withColumn("rgb", F.when(needs, F.col("rgb"))).mapInPandas(run, f"{fields}, f double").withColumn("f", F.nanvl("f", F.lit(None)))
 
 
-def detect(images: DataFrame, key: str = "image_id", head: str = "stub", second: str | None = None) -> DataFrame:
+def detect(images: DataFrame, key: str = "image_id", head: str = "stub", second: str | None = None, always: bool = False) -> DataFrame:
     """The whole flow over key, content, width, height, rgb: provenance, marks, features, heads, fusion, label. Narrow: rasters are never shuffled.
 
     Rows that provenance settles keep their raster out of Python: it is nulled
     before the pass, as it is for rows that the gate keeps from the second head.
+    always: the second head runs on every raster that nothing has settled, whatever the
+    gate says; its inputs are those of the model, so a stretched raster is its own matter.
     """
     prov = verdict(images)
     todo = prov.withColumn("rgb", F.when(~F.col("prov_stop"), F.col("rgb")))
@@ -147,7 +149,7 @@ def detect(images: DataFrame, key: str = "image_id", head: str = "stub", second:
     got = got.withColumns({"prov": F.when(stop, F.col("mark")).otherwise(F.col("prov")), "prov_detail": F.when(stop, F.col("mark_detail")).otherwise(F.col("prov_detail")), "prov_stop": F.col("prov_stop") | stop})
     if second:
         ruled = with_rules(got)
-        needs = ~F.col("prov_stop") & F.coalesce(F.expr(needs_cascade()), F.lit(True))
+        needs = ~F.col("prov_stop") & (F.lit(True) if always else F.coalesce(F.expr(needs_cascade()), F.lit(True)))
         names = [c for c in got.columns if c not in ("width", "height", "rgb")]
         got = second_head(ruled.withColumn("needs", needs), F.col("needs"), second).select(*names, "f")
     else:

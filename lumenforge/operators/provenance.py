@@ -137,9 +137,8 @@ def verdict(df: DataFrame, content: str = "content", containers: bool = True) ->
     out = settled(out.withColumn("_soft", first_match("_full", "_low", SOFT_BINDING)), ["_soft"])
     if containers:
         walk = (F.substring(c, 1, 4) == F.unhex(F.lit("89504E47"))) | (F.substring(c, 1, 2) == F.unhex(F.lit("FFD8")))
-        held = out.withColumn("_walk", F.coalesce(walk & F.col("_soft").isNull(), F.lit(False)))
-        walked = held.filter("_walk").withColumn("_parts", container_parts(content))
-        out = walked.unionByName(held.filter("NOT _walk").withColumn("_parts", F.lit(None).cast("binary"))).drop("_walk")
+        # one pass: rows that are not walked send no content
+        out = out.withColumn("_parts", container_parts(F.when(walk & F.col("_soft").isNull(), c)))
         out = settled(out.withColumn("_meta", F.coalesce(latin1(F.col("_parts")), F.col("_full"))).drop("_parts"), ["_meta"])
         out = settled(out.withColumn("_mlow", F.lower("_meta")), ["_mlow"])
     else:

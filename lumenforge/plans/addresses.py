@@ -23,33 +23,33 @@ def srcset(spark: SparkSession, d: str) -> DataFrame:
 _BLOB = "CASE mod(page_id, 6) WHEN 0 THEN concat('/imgres?imgurl=https%3A%2F%2Fx%2F', cast(page_id AS string), '.jpg&h=1') WHEN 1 THEN concat('a=1&imgurl%3Dhttps:', chr(92), '/', chr(92), '/y/', cast(page_id AS string)) WHEN 2 THEN concat('{\"ou\":\"https:', chr(92), '/', chr(92), '/z/', cast(page_id AS string), '+a.png\"}') WHEN 3 THEN '?imgurl=ftp%3A%2F%2Fno&mediaurl=http%3A%2F%2Fm' WHEN 4 THEN '?imgurl=https%3A%2F%2Fbad%ZZ' ELSE url END"
 
 
-@query("f07_f08_full_url_param", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('https://x/', page_id::VARCHAR, '.jpg') WHEN 1 THEN concat('https://y/', page_id::VARCHAR) WHEN 2 THEN concat('https://z/', page_id::VARCHAR, '+a.png') WHEN 3 THEN 'http://m' END AS full_url FROM pages WHERE page_id >= 0")
+@query("f07_f08_full_url_param", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('https://x/', page_id::VARCHAR, '.jpg') WHEN 1 THEN concat('https://y/', page_id::VARCHAR) WHEN 2 THEN concat('https://z/', page_id::VARCHAR, '+a.png') WHEN 3 THEN 'http://m' END AS full_url FROM pages")
 def full_url_param(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").filter("page_id >= 0").select("page_id", urls.full_url_param(F.expr(_BLOB)).alias("full_url"))
+    return table(spark, d, "pages").select("page_id", urls.full_url_param(F.expr(_BLOB)).alias("full_url"))
 
 
 _SOCIAL = "CASE mod(page_id, 7) WHEN 0 THEN 'https://pbs.twimg.com/media/a?format=jpg&name=small' WHEN 1 THEN 'https://pbs.twimg.com/media/a.jpg:thumb' WHEN 2 THEN 'https://pbs.twimg.com/profile_images/1/b_normal.png' WHEN 3 THEN 'https://pbs.twimg.com/media/a?name=orig' WHEN 4 THEN 'https://encrypted-tbn0.gstatic.com/images?q=tbn:x' WHEN 5 THEN 'https://th.bing.com/th?id=1' ELSE url END"
 
 
-@query("f12_f13_hosts", "SELECT page_id, page_id % 7 IN (4, 5) AS thumb, CASE page_id % 7 WHEN 0 THEN 'https://pbs.twimg.com/media/a?format=jpg&name=large' WHEN 1 THEN 'https://pbs.twimg.com/media/a.jpg:large' WHEN 2 THEN 'https://pbs.twimg.com/profile_images/1/b_400x400.png' WHEN 3 THEN 'https://pbs.twimg.com/media/a?name=orig' WHEN 4 THEN 'https://encrypted-tbn0.gstatic.com/images?q=tbn:x' WHEN 5 THEN 'https://th.bing.com/th?id=1' ELSE url END AS upgraded FROM pages WHERE page_id >= 0")
+@query("f12_f13_hosts", "SELECT page_id, page_id % 7 IN (4, 5) AS thumb, CASE page_id % 7 WHEN 0 THEN 'https://pbs.twimg.com/media/a?format=jpg&name=large' WHEN 1 THEN 'https://pbs.twimg.com/media/a.jpg:large' WHEN 2 THEN 'https://pbs.twimg.com/profile_images/1/b_400x400.png' WHEN 3 THEN 'https://pbs.twimg.com/media/a?name=orig' WHEN 4 THEN 'https://encrypted-tbn0.gstatic.com/images?q=tbn:x' WHEN 5 THEN 'https://th.bing.com/th?id=1' ELSE url END AS upgraded FROM pages")
 def hosts(spark: SparkSession, d: str) -> DataFrame:
     x = F.expr(_SOCIAL)
-    return table(spark, d, "pages").filter("page_id >= 0").select("page_id", urls.is_thumb(x).alias("thumb"), urls.upgraded(x).alias("upgraded"))
+    return table(spark, d, "pages").select("page_id", urls.is_thumb(x).alias("thumb"), urls.upgraded(x).alias("upgraded"))
 
 
 _SCRIPT = """concat('x["id', cast(1000 + mod(page_id, 50) AS string), '",["https://e.gstatic.com/images?q=1",10,20],["https://full/', cast(page_id AS string), '.jpg"]] ["https://encrypted-tbn0.gstatic.com/images?q=tbn:k', cast(page_id AS string), '",5,6],["https://orig/', cast(page_id AS string), '.png"]')"""
 
 
-@query("f09_script_map", "SELECT page_id, concat('id', (1000 + page_id % 50)::VARCHAR) AS id, concat('https://full/', page_id::VARCHAR, '.jpg') AS url FROM pages WHERE page_id >= 0 UNION ALL SELECT page_id, concat('https://encrypted-tbn0.gstatic.com/images?q=tbn:k', page_id::VARCHAR), concat('https://orig/', page_id::VARCHAR, '.png') FROM pages WHERE page_id >= 0 UNION ALL SELECT page_id, concat('tbn:k', page_id::VARCHAR), concat('https://orig/', page_id::VARCHAR, '.png') FROM pages WHERE page_id >= 0")
+@query("f09_script_map", "SELECT page_id, concat('id', (1000 + page_id % 50)::VARCHAR) AS id, concat('https://full/', page_id::VARCHAR, '.jpg') AS url FROM pages UNION ALL SELECT page_id, concat('https://encrypted-tbn0.gstatic.com/images?q=tbn:k', page_id::VARCHAR), concat('https://orig/', page_id::VARCHAR, '.png') FROM pages UNION ALL SELECT page_id, concat('tbn:k', page_id::VARCHAR), concat('https://orig/', page_id::VARCHAR, '.png') FROM pages")
 def script_map(spark: SparkSession, d: str) -> DataFrame:
-    scripts = table(spark, d, "pages").filter("page_id >= 0").select("page_id", F.expr(_SCRIPT).alias("script"))
+    scripts = table(spark, d, "pages").select("page_id", F.expr(_SCRIPT).alias("script"))
     return urls.script_map(scripts, "page_id", "script")
 
 
-@query("f10_f11_ancestors", "SELECT page_id AS img, concat('https://full/', page_id::VARCHAR, '.jpg') AS url FROM pages WHERE page_id >= 0 AND page_id % 4 <> 3")
+@query("f10_f11_ancestors", "SELECT page_id AS img, concat('https://full/', page_id::VARCHAR, '.jpg') AS url FROM pages WHERE page_id % 4 <> 3")
 def ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Images whose nearest known ancestor is up to ten levels away; every fourth one's is farther."""
-    pages = table(spark, d, "pages").filter("page_id >= 0")
+    pages = table(spark, d, "pages")
     pairs = urls.script_map(pages.select("page_id", F.expr(_SCRIPT).alias("script")), "page_id", "script")
     depth = F.when(F.col("page_id") % 4 == 3, 12).otherwise(F.col("page_id") % 4).cast("int")
     known = F.concat(F.lit("id"), (1000 + F.col("page_id") % 50).cast("string"))

@@ -15,7 +15,7 @@ _MARKS = [
     "DALL-E 3", "stable_diffusion", "http://ns.adobe.com/xap/1.0/", "jumbf box", "openai", "exai", "generated  with ai", "digitalsourcetype", "xmpMM:History", "softbindings",
 ]
 _MARK = "CASE mod(doc_id, 20) " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MARKS)) + " END"
-ARTIFACTS = f"SELECT doc_id, concat(coalesce(text, ''), ' ', {_MARK}, ' end') AS t FROM {{docs}} WHERE doc_id >= 0"
+ARTIFACTS = f"SELECT doc_id, concat(coalesce(text, ''), ' ', {_MARK}, ' end') AS t FROM {{docs}}"
 
 
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def window(spark: SparkSession, d: str) -> DataFrame:
 _SIZE = "octet_length(encode(coalesce(text, '')))"
 
 
-@query("p03_png_chunks", f"SELECT doc_id, ({_SIZE} + 1 + least(16000, 8 + 12 + {_SIZE} + 12 + 3 + 12))::BIGINT AS meta_len FROM documents WHERE doc_id >= 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, ({_SIZE} % 60000 + 1 + least(16000, 2 + 4 + {_SIZE} % 60000 + 2 + {_SIZE}))::BIGINT FROM documents WHERE doc_id >= 0 AND doc_id % 2 = 1")
+@query("p03_png_chunks", f"SELECT doc_id, ({_SIZE} + 1 + least(16000, 8 + 12 + {_SIZE} + 12 + 3 + 12))::BIGINT AS meta_len FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, ({_SIZE} % 60000 + 1 + least(16000, 2 + 4 + {_SIZE} % 60000 + 2 + {_SIZE}))::BIGINT FROM documents WHERE doc_id % 2 = 1")
 def containers(spark: SparkSession, d: str) -> DataFrame:
     """Texts as chunks of PNG files (even ids) and segments of JPEG files (odd ids): what the walkers keep."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -65,5 +65,5 @@ def containers(spark: SparkSession, d: str) -> DataFrame:
     n = size % 60000
     part = F.substring(F.concat(text, text), 1, 60000)
     jpeg = F.concat(F.unhex(F.lit("FFD8FFE1")), F.unhex(F.lpad(F.hex(n + 2), 4, "0")), part.substr(F.lit(1), n), F.unhex(F.lit("FFDA")), text)
-    rows = table(spark, d, "documents").filter("doc_id >= 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, png).otherwise(jpeg).alias("content"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, png).otherwise(jpeg).alias("content"))
     return rows.select("doc_id", F.octet_length(pv.container_parts("content")).cast("long").alias("meta_len"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenforge.functions import scalars as sc
 from lumenforge.operators import corpus as co
 from lumenforge.session import table
+from lumenforge.sources import feeds
 
 from .catalog import query
 
-MANIFEST = "SELECT doc_id, concat(CASE WHEN mod(doc_id, 2) = 0 THEN 'ai' ELSE 'real' END, '/', source, '/', cast(doc_id AS string), '.jpg') AS file, CASE WHEN mod(doc_id, 2) = 0 THEN 'ai' ELSE 'real' END AS label, source, {sha} AS sha256, n_chars, {size} AS bytes, cast(64 + mod(doc_id, 400) AS int) AS width, cast(90 + mod(doc_id, 37) AS int) AS height, mod(doc_id, 10) AS part FROM {docs} WHERE doc_id >= 0"
+MANIFEST = "SELECT doc_id, concat(CASE WHEN mod(doc_id, 2) = 0 THEN 'ai' ELSE 'real' END, '/', source, '/', cast(doc_id AS string), '.jpg') AS file, CASE WHEN mod(doc_id, 2) = 0 THEN 'ai' ELSE 'real' END AS label, source, {sha} AS sha256, n_chars, {size} AS bytes, cast(64 + mod(doc_id, 400) AS int) AS width, cast(90 + mod(doc_id, 37) AS int) AS height, mod(doc_id, 10) AS part FROM {docs}"
 DUCK = MANIFEST.format(sha="sha256(text)", size="octet_length(encode(text))", docs="documents")
 SPLITS = {"holdout": "part = 0", "train": "part IN (1, 2)", "failed": "part = 3", "pending": "part = 4"}
 _REGISTRY = "CASE WHEN part = 0 THEN 'holdout' WHEN part IN (1, 2) THEN 'train' WHEN part = 3 THEN 'failed' END"
@@ -21,6 +23,16 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(MANIFEST.format(sha="sha2(text, 256)", size="octet_length(text)", docs="{docs}"), docs=table(spark, d, "documents"))
 
 
+def running_number(rows: DataFrame, key: str, order: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Number each key's rows from 0 in an order of whole numbers, bucket by bucket."""
+    held = rows.withColumn("_b", F.floor(F.col(order) / F.lit(width)))
+    sizes = held.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_base", F.sum("_n").over(W.partitionBy("_k").orderBy("_kb")) - F.col("_n"))
+    inside = held.withColumn("_in", F.row_number().over(W.partitionBy(key, "_b").orderBy(order)) - 1)
+    joined = inside.join(sizes, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
+    return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_b", "_k", "_kb", "_n", "_base", "_in")
+
+
 @query("u04_first_by_hash", f"SELECT sha256, arg_min(file, doc_id) AS file, min(doc_id) AS doc_id FROM ({DUCK}) WHERE sha256 IS NOT NULL GROUP BY sha256")
 def first_by_hash(spark: SparkSession, d: str) -> DataFrame:
     """Of equal contents the first stays; null contents have no digest and are left out."""
@@ -66,7 +78,7 @@ def exclude_substrings(spark: SparkSession, d: str) -> DataFrame:
     return co.matching_none(manifest(spark, d).select("doc_id", "file"), "file", ["7.jpg", "real/s1"])
 
 
-@query("j12_prompt_lookup", "SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id >= 0")
+@query("j12_prompt_lookup", "SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def prompt_lookup(spark: SparkSession, d: str) -> DataFrame:
     out = manifest(spark, d).select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), "toxic")
@@ -86,7 +98,7 @@ def engines_providers(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("engine", F.explode(F.array(*map(F.lit, ("auto", "wasm", "webgpu")))).alias("provider"))
 
 
-@query("u01_u02_unions", "SELECT origin, count(*)::BIGINT AS n, count(turn)::BIGINT AS turns FROM (SELECT 'host' AS origin, NULL AS turn FROM documents WHERE doc_id >= 0 UNION ALL SELECT 'browser', turn FROM conversations) GROUP BY origin")
+@query("u01_u02_unions", "SELECT origin, count(*)::BIGINT AS n, count(turn)::BIGINT AS turns FROM (SELECT 'host' AS origin, NULL AS turn FROM documents UNION ALL SELECT 'browser', turn FROM conversations) GROUP BY origin")
 def unions(spark: SparkSession, d: str) -> DataFrame:
     """Results of two harnesses one below the other; columns that one lacks are null."""
     host = manifest(spark, d).select(F.lit("host").alias("origin"))
@@ -94,7 +106,7 @@ def unions(spark: SparkSession, d: str) -> DataFrame:
     return browser.unionByName(host, allowMissingColumns=True).groupBy("origin").agg(F.count("*").alias("n"), F.count("turn").alias("turns"))
 
 
-@query("u05_upsert", "SELECT doc_id, coalesce(l.quality, m.quality) AS quality, m.source FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN -1 END::INT AS quality, source FROM documents WHERE doc_id >= 0) m FULL OUTER JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id)")
+@query("u05_upsert", "SELECT doc_id, coalesce(l.quality, m.quality) AS quality, m.source FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN -1 END::INT AS quality, source FROM documents) m FULL OUTER JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id)")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     base = manifest(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(-1)).cast("int").alias("quality"), "source")
     return co.upsert(base, table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id").select("doc_id", "quality", "source")
@@ -108,7 +120,7 @@ def append_absent(spark: SparkSession, d: str) -> DataFrame:
     return co.append_absent(base, rows, "file").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("u07_tag_union", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(source, ',holdout') ELSE concat('holdout,', source) END AS tags FROM documents WHERE doc_id >= 0 AND source IS NOT NULL AND source <> 'holdout'")
+@query("u07_tag_union", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(source, ',holdout') ELSE concat('holdout,', source) END AS tags FROM documents WHERE source IS NOT NULL AND source <> 'holdout'")
 def tag_union(spark: SparkSession, d: str) -> DataFrame:
     m = manifest(spark, d).filter("source IS NOT NULL AND source <> 'holdout'")
     have = F.when(F.col("doc_id") % 3 == 0, F.array("source")).otherwise(F.array(F.lit("holdout"), "source"))
@@ -126,7 +138,7 @@ def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     return co.ordered_distinct(table(spark, d, "pages"), "page_id", "html", "[A-Za-z]{7,}")
 
 
-@query("o06_random_cap", "SELECT doc_id FROM documents WHERE doc_id >= 0 ORDER BY sha256(concat('cap', doc_id::VARCHAR)), doc_id LIMIT 100")
+@query("o06_random_cap", "SELECT doc_id FROM documents ORDER BY sha256(concat('cap', doc_id::VARCHAR)), doc_id LIMIT 100")
 def random_cap(spark: SparkSession, d: str) -> DataFrame:
     return co.capped(manifest(spark, d).select("doc_id"), F.sha2(F.concat(F.lit("cap"), F.col("doc_id").cast("string")), 256), "doc_id", 100)
 
@@ -142,7 +154,7 @@ def paged_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy((F.col("doc_id") % 2).alias("label")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
 
 
-@query("o08_round_robin", "SELECT doc_id, ((doc_id + 1) % 5 + 5) % 5 AS prompt FROM documents WHERE doc_id >= 0")
+@query("o08_round_robin", "SELECT doc_id, ((doc_id + 1) % 5 + 5) % 5 AS prompt FROM documents")
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).select("doc_id", F.pmod(F.col("doc_id") + 1, F.lit(5)).alias("prompt"))
 
@@ -222,10 +234,10 @@ def options_migration(spark: SparkSession, d: str) -> DataFrame:
 _BYTES = "CASE mod(doc_id, 8) WHEN 0 THEN {x}('FFD8FFE000104A46') WHEN 1 THEN {x}('89504E470D0A1A0A') WHEN 2 THEN {x}('524946460000000057454250') WHEN 3 THEN {x}('474946383961') WHEN 4 THEN {x}('3C73766720') WHEN 5 THEN {x}('89504E47') WHEN 6 THEN {x}('52494646000000004A4B4C4D') ELSE {x}('00') END"
 
 
-@query("s25_s26_s27_f26_bytes", "SELECT doc_id, ['image/jpeg', 'image/png', 'image/webp', 'image/gif', 'application/octet-stream', 'application/octet-stream', 'application/octet-stream', 'application/octet-stream'][doc_id % 8 + 1] AS mime, ['jpg', 'png', 'webp', 'bin', 'svg', 'bin', 'webp', 'bin'][doc_id % 8 + 1] AS ext, to_base64(b) AS b64, sha256(b) AS sha256, octet_length(b)::INT AS n FROM (SELECT doc_id, " + _BYTES.format(x="unhex") + " AS b FROM documents WHERE doc_id >= 0)")
+@query("s25_s26_s27_f26_bytes", "SELECT doc_id, ['image/jpeg', 'image/png', 'image/webp', 'image/gif', 'application/octet-stream', 'application/octet-stream', 'application/octet-stream', 'application/octet-stream'][doc_id % 8 + 1] AS mime, ['jpg', 'png', 'webp', 'bin', 'svg', 'bin', 'webp', 'bin'][doc_id % 8 + 1] AS ext, to_base64(b) AS b64, sha256(b) AS sha256, octet_length(b)::INT AS n FROM (SELECT doc_id, " + _BYTES.format(x="unhex") + " AS b FROM documents)")
 def byte_rules(spark: SparkSession, d: str) -> DataFrame:
     """Magic bytes to type and extension, base64 both ways, digest."""
-    rows = table(spark, d, "documents").filter("doc_id >= 0").selectExpr("doc_id", _BYTES.format(x="unhex") + " AS b")
+    rows = table(spark, d, "documents").selectExpr("doc_id", _BYTES.format(x="unhex") + " AS b")
     back = F.unbase64(F.base64("b"))
     return rows.select("doc_id", sc.sniff_mime("b").alias("mime"), sc.sniff_extension("b").alias("ext"), F.base64("b").alias("b64"), F.sha2(back, 256).alias("sha256"), F.octet_length(back).alias("n"))
 
@@ -235,3 +247,30 @@ def labels_from_paths(spark: SparkSession, d: str) -> DataFrame:
     from lumenforge.sources.indexes import from_paths
 
     return from_paths(manifest(spark, d).filter("file IS NOT NULL").select("file"), "file", hard="9.")
+
+
+@query("s11_until_short_page", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents), h AS (SELECT *, k // 10 AS page FROM r WHERE k % 23 <> 17), n AS (SELECT source, page, count(*) AS n FROM h GROUP BY ALL), c AS (SELECT source, page, sum((n < 10)::INT) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS short, row_number() OVER (PARTITION BY source ORDER BY page) - 1 AS run FROM n) SELECT h.doc_id, h.source FROM h JOIN c ON h.page = c.page AND h.source IS NOT DISTINCT FROM c.source WHERE coalesce(short, 0) = 0 AND run = c.page")
+def until_short_page(spark: SparkSession, d: str) -> DataFrame:
+    """A source's documents in pages of 10, some of which lack a row: pages up to the first short one."""
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    numbered = running_number(rows, "source", "doc_id", "k").filter("k % 23 <> 17")
+    return feeds.until_short(numbered, "source", "k", 10).select("doc_id", "source")
+
+
+@query("s13_cursor_feed", "WITH e AS (SELECT user_id % 6 AS feed, event_id // 40 AS number, CASE WHEN event_id // 40 % 50 > 44 AND user_id % 6 < 2 THEN NULL WHEN event_id // 40 > 90 AND user_id % 6 = 3 THEN 7 ELSE event_id % 5000 END AS id FROM events WHERE user_id IS NOT NULL), p AS (SELECT feed, number, list(id) FILTER (id IS NOT NULL) AS ids FROM e GROUP BY ALL), f AS (SELECT feed, min(number) AS number, id FROM e WHERE id IS NOT NULL AND id % 7 <> 3 GROUP BY feed, id), m AS (SELECT p.feed, p.number, row_number() OVER (PARTITION BY p.feed ORDER BY p.number) AS pos, coalesce(len(ids), 0) AS size, (SELECT count(*) FROM f WHERE f.feed = p.feed AND f.number = p.number) AS fresh FROM p), g AS (SELECT *, pos - coalesce(max(CASE WHEN size > 0 THEN pos END) OVER w, 0) AS empty, pos - coalesce(max(CASE WHEN fresh > 0 THEN pos END) OVER w, 0) AS stale FROM m WINDOW w AS (PARTITION BY feed ORDER BY pos)), s AS (SELECT feed, min(number) AS stop FROM g WHERE empty >= 5 OR stale >= 8 GROUP BY feed) SELECT f.feed, f.number, f.id FROM f LEFT JOIN s USING (feed) WHERE stop IS NULL OR f.number <= stop")
+def cursor_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of six feeds, some of which run empty or stale; ids that are 3 modulo 7 are known."""
+    e = table(spark, d, "events").filter("user_id IS NOT NULL").selectExpr("user_id % 6 AS feed", "event_id DIV 40 AS number", "event_id")
+    gone = (F.col("number") % 50 > 44) & (F.col("feed") < 2)
+    id_ = F.when(~gone, F.when((F.col("number") > 90) & (F.col("feed") == 3), F.lit(7)).otherwise(F.col("event_id") % 5000))
+    pages = e.withColumn("id", id_).groupBy("feed", "number").agg(F.collect_list("id").alias("ids"))
+    known = spark.range(5000).filter("id % 7 = 3")
+    return feeds.until_dry(pages, known)
+
+
+@query("s17_verified_artifacts", "SELECT doc_id AS name, CASE WHEN doc_id % 5 <> 4 THEN octet_length(encode(coalesce(text, '')))::INT END AS n_bytes, CASE WHEN doc_id % 5 = 4 THEN 'missing' WHEN doc_id % 3 = 1 THEN concat('error: digest ', sha256(coalesce(text, ''))) ELSE 'ready' END AS status FROM documents")
+def verified_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contents against a manifest's digests, some of which are wrong, and some contents are missing."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    digest = F.when(F.col("name") % 3 == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.sha2("content", 256))
+    return feeds.verified(docs.filter("name % 5 <> 4"), docs.select("name", digest.alias("sha256")))

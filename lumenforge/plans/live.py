@@ -73,3 +73,17 @@ def eviction(spark: SparkSession, d: str) -> DataFrame:
 @query("t15_stale_results", f"SELECT owner, seq FROM (SELECT *, arg_max(src, seq) OVER (PARTITION BY owner) AS now FROM ({_SRC.format(ev='events')})) WHERE src = now")
 def stale_results(spark: SparkSession, d: str) -> DataFrame:
     return live.fresh_results(spark.sql(_SRC, ev=table(spark, d, "events"))).select("owner", "seq")
+
+
+@query("t14_debounce", "SELECT user_id AS owner, epoch_us(ts) + 7200000000 AS fired FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events WHERE user_id IS NOT NULL) WHERE coalesce(epoch_us(next) - epoch_us(ts) >= 7200000000, true)")
+def debounce(spark: SparkSession, d: str) -> DataFrame:
+    """Here with a wait of two hours, since the events are hours apart."""
+    e = table(spark, d, "events").filter("user_id IS NOT NULL").select(F.col("user_id").alias("owner"), "ts", F.col("event_id").alias("id"))
+    return live.debounced(e, wait_ms=7_200_000).select("owner", F.unix_micros(F.col("fired").cast("timestamp")).alias("fired"))
+
+
+@query("t14_rediscover", "SELECT user_id AS owner, (epoch_us(ts) // 3600000000 + 1) * 3600000000 AS tick, count(*)::BIGINT AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def rediscover(spark: SparkSession, d: str) -> DataFrame:
+    """Here with a tick each hour."""
+    e = table(spark, d, "events").filter("user_id IS NOT NULL").select(F.col("user_id").alias("owner"), "ts")
+    return live.rediscovered(e, every_ms=3_600_000).select("owner", F.unix_micros(F.col("tick").cast("timestamp")).alias("tick"), "n")

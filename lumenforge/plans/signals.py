@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.functions import raster
-from lumenforge.operators import heads
+from lumenforge.functions import scalars as sc
+from lumenforge.operators import heads, training
 from lumenforge.operators import pixels as px
 from lumenforge.operators.rules import settled
 from lumenforge.session import table
@@ -15,13 +17,13 @@ from lumenforge.sources.substrate import SCORED_DUCK, scored
 from . import pixels as plan
 from .catalog import ORACLE_SQL, query
 
-_FIT = "vec_id >= 0 AND len(e) = 64 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_FIT = "len(e) = 64 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
 _SIGNAL = f"SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE {_FIT}"
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return rows.filter("vec_id >= 0 AND size(e) = 64 AND forall(e, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity'))")
+    return rows.filter("size(e) = 64 AND forall(e, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity'))")
 
 
 @query("x03_spectrum", f"SELECT vec_id, round(list_max(mags), 5) AS peak, round(list_sum(mags), 4) AS total FROM (SELECT vec_id, {plan._mags('e')} AS mags FROM ({_SIGNAL}))")
@@ -59,6 +61,20 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     return w.select("w", normal.alias("normal"), F.levenshtein(normal, F.lit("grok")).alias("slips"), F.contains(normal, F.lit("grok")).alias("holds"))
 
 
+_SLIPPED = "unnest(['gr0k', 'grk', 'ok', 'opena1', 'flui', 'abci', 'zz', 'midjxurnoy', 'midjxxxney', 'xqai', 'dall-3', 'made with a1', 'stabl difusion', 'leonard0 ai', 'runwaym', 'chatgbt'])"
+_PHRASES = ", ".join(f"({k}, '{p}', '{raster.bare(p)}')" for k, p in enumerate(raster.PHRASES))
+
+
+@query("x24_x25_phrase_match", f"WITH w AS (SELECT w, regexp_replace(lower(w), '[^a-z0-9]', '', 'g') AS t FROM (SELECT {_SLIPPED} AS w UNION SELECT p_name FROM part WHERE p_name IS NOT NULL)), p AS (SELECT ord, phrase, p, len(p) AS n, CASE WHEN len(p) <= 5 THEN 1 ELSE 2 END AS slips FROM (VALUES {_PHRASES}) v(ord, phrase, p)), near AS (SELECT w, ord, phrase FROM (SELECT w, t, ord, phrase, p, n, slips, unnest(range(0, greatest(0, len(t) - n + slips + 1))) AS i FROM w, p WHERE len(t) >= 3) WHERE levenshtein(substr(t, i + 1, n), p) <= slips OR (len(substr(t, i + 1, n + 1)) > n AND levenshtein(substr(t, i + 1, n + 1), p) <= slips) UNION SELECT w, ord, phrase FROM w, p WHERE len(t) >= 3 AND contains(t, p)) SELECT w.w, (SELECT arg_min(phrase, ord) FROM near WHERE near.w = w.w) AS phrase FROM w")
+def phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first of all phrases that a text holds with few enough slips, over the names of parts and some planted texts."""
+    slipped = ("gr0k", "grk", "ok", "opena1", "flui", "abci", "zz", "midjxurnoy", "midjxxxney", "xqai", "dall-3", "made with a1", "stabl difusion", "leonard0 ai", "runwaym", "chatgbt")
+    planted = spark.range(1).select(F.explode(F.array(*map(F.lit, slipped))).alias("w"))
+    w = table(spark, d, "part").select(F.col("p_name").alias("w")).filter("w IS NOT NULL").union(planted).distinct()
+    normal = w.withColumn("t", F.regexp_replace(F.lower("w"), "[^a-z0-9]", ""))
+    return normal.select("w", sc.first_phrase(F.col("t"), raster.PHRASES).alias("phrase"))
+
+
 def raster_rows(spark: SparkSession, d: str) -> DataFrame:
     """The generated pixels as one raster a row, put together without Python."""
     hexed = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "rgb"])
@@ -138,14 +154,48 @@ def visible_mark(spark: SparkSession, d: str) -> DataFrame:
     return heads.per_raster(raster_rows(spark, d), "image_id", "score double, detail string, stop boolean", raster.visible_mark)
 
 
+WRITTEN = ("OPENAI", "FLUX", "HELLO", "")
+
+
+@query("x26_written_marks", "SELECT s_suppkey AS image_id, CASE WHEN s_suppkey % 5 = 4 THEN 'visible-watermark:too-small' WHEN s_suppkey % 4 = 0 THEN 'visible-watermark:xai' ELSE 'visible-watermark:none' END AS detail, CASE WHEN s_suppkey % 5 <> 4 AND s_suppkey % 4 = 0 THEN 0.99 ELSE 0.5 END::DOUBLE AS score, s_suppkey % 5 <> 4 AND s_suppkey % 4 = 0 AS stop FROM supplier")
+def written_marks(spark: SparkSession, d: str) -> DataFrame:
+    """X16–X26 from glyphs to verdict: OPENAI, FLUX, HELLO or nothing written in the lower left; some rasters are too small. OPENAI reads 0PENAI, which holds NAI, one slip from the earlier phrase XAI; FLUX reads FLHIHI, two slips from itself."""
+
+    def draw(batches):
+        for pdf in batches:
+            rows = [(k, 60 if k % 5 == 4 else 200, 60 if k % 5 == 4 else 120, WRITTEN[k % 4]) for k in pdf["image_id"].tolist()]
+            yield pd.DataFrame([(k, w, h, raster.written(text, w, h).tobytes()) for k, w, h, text in rows], columns=["image_id", "width", "height", "rgb"])
+
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    images = ids.mapInPandas(draw, "image_id long, width int, height int, rgb binary")
+    return heads.per_raster(images, "image_id", "score double, detail string, stop boolean", raster.visible_mark)
+
+
+@query("m07_both_heads", f"SELECT image_id, round(stub, 5) AS d, round(stub, 5) AS f FROM ({_STUB})")
+def both_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Both heads over every raster, the gate not asked."""
+    first = heads.measured(raster_rows(spark, d), "image_id", keep_rasters=True).select("image_id", "d", "width", "height", "rgb")
+    out = heads.second_head(first, F.lit(True), "stub")
+    return out.select("image_id", F.round(F.round("d", 6), 5).alias("d"), F.round(F.round("f", 6), 5).alias("f"))
+
+
+@query("m09_head_training")
+def head_training(spark: SparkSession, d: str) -> DataFrame:
+    """A logistic head on the features of scored images, of the passes the one with the best balanced accuracy on every fifth image; its probabilities."""
+    rows = scored(spark, d).withColumn("y", (F.col("truth") == "ai").cast("int"))
+    names = ["axis", "share", "chroma", "hf", "lap", "block", "d", "s"]
+    model, _ = training.fit_head(rows.filter("image_id % 5 <> 0"), rows.filter("image_id % 5 = 0"), names, "y")
+    return training.with_probability(model, rows, names).select("image_id", F.round("p", 6).alias("p"))
+
+
 @query("m01_models", "SELECT * FROM (VALUES ('accurate', 384), ('pixel-mark', 512), ('small', 224), ('stub', 0)) m(model, size)")
 def model_table(spark: SparkSession, d: str) -> DataFrame:
     return heads.models(spark).select("model", "size")
 
 
-@query("s03_load_source", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(encode('src')) WHEN doc_id % 3 = 1 THEN sha256(encode('b64')) END AS digest, doc_id % 3 = 2 AS failed FROM documents WHERE doc_id >= 0")
+@query("s03_load_source", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(encode('src')) WHEN doc_id % 3 = 1 THEN sha256(encode('b64')) END AS digest, doc_id % 3 = 2 AS failed FROM documents")
 def load_source(spark: SparkSession, d: str) -> DataFrame:
     """Landed bytes first, base64 second, an error if there is neither."""
-    rows = table(spark, d, "documents").filter("doc_id >= 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.encode(F.lit("src"), "UTF-8")).alias("landed"), F.when(F.col("doc_id") % 3 < 2, F.lit("YjY0")).alias("b64"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.encode(F.lit("src"), "UTF-8")).alias("landed"), F.when(F.col("doc_id") % 3 < 2, F.lit("YjY0")).alias("b64"))
     content = F.coalesce("landed", F.unbase64("b64"))
     return rows.select("doc_id", F.sha2(content, 256).alias("digest"), content.isNull().alias("failed"))

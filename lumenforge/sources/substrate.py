@@ -49,7 +49,7 @@ SELECT vec_id AS image_id, CASE WHEN label < 5 THEN 'ai' ELSE 'real' END AS trut
   mod(vec_id, 11) = 0 AS hard_case, mod(vec_id, 13) = 5 AS is_error, concat(CASE WHEN mod(vec_id, 5) = 2 THEN 'feed/' ELSE 'plain/' END, cast(vec_id AS string)) AS file,
   20e0 + h0 / 10e0 AS infer_ms, 5e0 + h1 / 100e0 AS prep_ms, {', '.join(fields)}, CASE WHEN h{n} >= 950 THEN 1e0 WHEN h{n} >= 900 THEN 0.7e0 ELSE 0e0 END AS chrome,
   CASE mod(h{n}, 10) {sides} END AS min_side
-FROM (SELECT vec_id, label, mod(vec_id, 5) AS fam, {hashes} FROM (SELECT vec_id, label, cast(embedding AS {list}) AS e FROM {source}) t WHERE vec_id >= 0 AND {size}(e) > {n} AND {finite}) u"""
+FROM (SELECT vec_id, label, mod(vec_id, 5) AS fam, {hashes} FROM (SELECT vec_id, label, cast(embedding AS {list}) AS e FROM {source}) t WHERE {size}(e) > {n} AND {finite}) u"""
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

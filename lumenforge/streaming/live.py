@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Fixed values.
-CACHE, IN_FLIGHT, VISIBLE, PENDING_MS, SOFT_TRACKED, HARD_TRACKED = 400, 8, 900_000.0, 2500, 500, 1000
+CACHE, IN_FLIGHT, VISIBLE, PENDING_MS, SOFT_TRACKED, HARD_TRACKED, WAIT_MS, REDISCOVER_MS = 400, 8, 900_000.0, 2500, 500, 1000, 32, 1000
 OUT = "owner long, seq long, item string, hit boolean, confidence double, label string"
 
 
@@ -147,6 +147,20 @@ def beside(rows: DataFrame, owner: str, order: list[str], value: str, bucket: Co
     return joined.withColumn(out, F.when(F.col("_edge"), F.col("_far")).otherwise(F.col("_near"))).drop("_b", "_o", "_eb", "_far", "_near", "_edge")
 
 
+def debounced(events: DataFrame, owner: str = "owner", at: str = "ts", order: str = "id", wait_ms: int = WAIT_MS) -> DataFrame:
+    """owner and fired: a scan starts ``wait_ms`` after the last of an owner's events that follow each other within that time. (As a trigger, ``run_queue`` takes the same interval.)"""
+    out = beside(events.select(owner, at, order), owner, [at, order], at, F.date_trunc("day", F.col(at)), "_next", after=True)
+    gap = F.timestamp_diff("MICROSECOND", F.col(at), F.col("_next"))
+    last = out.filter(F.coalesce(gap >= wait_ms * 1000, F.lit(True)))
+    return last.select(owner, (F.col(at) + F.make_dt_interval(secs=F.lit(wait_ms / 1000))).alias("fired"))
+
+
+def rediscovered(events: DataFrame, owner: str = "owner", at: str = "ts", every_ms: int = REDISCOVER_MS) -> DataFrame:
+    """owner, tick: the timer's next tick, at which an owner's events of the interval before are seen, and how many there were."""
+    tick = F.window(at, f"{every_ms} milliseconds")["end"].alias("tick")
+    return events.groupBy(owner, tick).agg(F.count("*").alias("n"))
+
+
 def with_resets(events: DataFrame, owner: str = "owner", seq: str = "seq", src: str = "src", fatal: str = "fatal", width: int = 1 << 16) -> DataFrame:
     """Number each owner's sources as they change (``version``), and hold an error back from trying again as long as the source stays (``stuck``).
 
