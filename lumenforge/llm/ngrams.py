@@ -26,7 +26,7 @@ def chunks(texts: list[str | None], most_bytes: int = 1 << 20, most_docs: int =
 
 
 def presence(docs: list[bytes], orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """A row per document: uint8[2^bits], 1 where some n-gram of it hashes to. A document's start and end count as a zero byte.
+    """A row per document: uint8[2^bits], 1 where some n-gram of it hashes to. A document's start counts as a zero byte, its end as some.
 
     Very long documents are walked in steps, so memory follows the step and not the document.
     """
@@ -38,14 +38,17 @@ def presence(docs: list[bytes], orders: tuple[int, ...], bits: int) -> np.ndarra
 
     def flush() -> None:
         joined = np.frombuffer(b"".join([b"\0" + b + b"\0" * top for _, b in group]), np.uint8)
-        row = np.repeat(np.array([k for k, _ in group], np.int64), [len(b) + 1 + top for _, b in group]) << bits
+        size = np.array([len(b) + 1 + top for _, b in group], np.int64)
+        row = np.repeat(np.array([k for k, _ in group], np.int64), size) << bits
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(joined))  # bytes of the same document from here on
         gram = np.zeros(len(joined), np.uint64)
         for n in range(1, top + 1):
             gram[: len(joined) - n + 1] |= joined[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
             if n in orders:
                 m = len(joined) - n + 1
                 h = ((gram[:m] + np.uint64(n << 56)) * MIX) >> np.uint64(64 - bits)
-                flat[row[:m] + h.astype(np.int64)] = 1
+                own = left[:m] >= n
+                flat[(row[:m] + h.astype(np.int64))[own]] = 1
 
     for k, b in enumerate(docs):
         for a in range(0, max(1, len(b)), step):

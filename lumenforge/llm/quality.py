@@ -112,7 +112,7 @@ def fit(labels: list, x: np.ndarray, share: float, cost: float = 1.0) -> dict:
     def model(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ratio = log_count_ratio(x[rows], y[rows])
         n = np.array([(y[rows] == s).sum() for s in (1, -1)])
-        c = np.where(y[rows] > 0, cost, cost) * len(rows) / (2.0 * np.where(y[rows] > 0, n[0], n[1]))
+        c = cost * len(rows) / (2.0 * np.where(y[rows] > 0, n[0], n[1]))
         return ratio, dual_descent([index[i] for i in rows], ratio, y[rows].astype(float), c)
 
     def margins(rows: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> np.ndarray:

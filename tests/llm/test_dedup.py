@@ -216,3 +216,11 @@ def test_index_meets_all_pairs_within_three_bits_and_the_count_filter_rejects():
     a = np.array([0], np.uint64)
     four = np.array([0x0101010100000000], np.uint64)  # 4 bits in 4 bytes
     assert any(int(four[0]) & m == 0 for m in masks) and not simhash.near(a, four, 5, 64).any() and simhash.near(a, four, 4, 64).all()
+
+
+def test_benchmark_with_clashing_columns(spark):
+    docs = cases.frame(spark, 6)
+    items = [("i1", "the of x"), ("i2", "one"), (None, "two words")]
+    plain = spark.createDataFrame(items, "item_id string, text string")
+    clash = spark.createDataFrame([(*r, 1, "x", None) for r in items], "item_id string, text string, doc_id long, dc_words string, source string")
+    assert Counter(map(tuple, decontam.op7(docs, plain).collect())) == Counter(map(tuple, decontam.op7(docs, clash).collect()))

@@ -324,3 +324,53 @@ def test_dual_descent_separates():
     y = np.array([1.0, 1.0, -1.0, -1.0])
     w = quality.dual_descent(index, np.ones(4), y, np.full(4, 10.0), epochs=100)
     assert all(np.sign(w[i].sum() / np.sqrt(2) + w[-1]) == s for i, s in zip(index, y))
+
+
+def test_quality_features_and_ratios_match_plain_ones():
+    """N-grams by sets, hashed one by one; log-count ratios by counting documents."""
+    rng = np.random.default_rng(14)
+    docs = [bytes(rng.choice(list(b"abc dEF"), rng.integers(0, 60)).astype(np.uint8)).lower() for _ in range(40)]
+    bits, orders = 10, (1, 2, 3, 4)
+
+    def slot(g):
+        v = (int.from_bytes(g, "little") + (len(g) << 56)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        return v >> 64 - bits
+
+    want = []
+    for d in docs:
+        t = b"\0" + d + b"\0" * 4
+        want.append({slot(t[i : i + n]) for n in orders for i in range(len(t) - n + 1)})
+    x = quality.presence(docs, orders, bits)
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == want
+    y = np.where(rng.random(40) < 0.4, 1, -1)
+    p, q = ([1 + sum(k in w for w, s in zip(want, y) if s == side) for k in range(1 << bits)] for side in (1, -1))
+    ratio = [math.log((a / sum(p)) / (b / sum(q))) for a, b in zip(p, q)]
+    assert np.allclose(quality.log_count_ratio(np.packbits(x, axis=1), y), ratio)
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The hinge loss's dual by plain projected gradient steps, to the same weights."""
+    rng = np.random.default_rng(15)
+    n, m = 24, 10
+    index = [np.sort(rng.choice(m, rng.integers(1, 6), replace=False)) for _ in range(n)]
+    value, y, c = rng.normal(0, 1, m), np.where(rng.random(n) < 0.5, 1.0, -1.0), np.full(n, 0.7)
+    x = np.zeros((n, m + 1))
+    for i, k in enumerate(index):
+        x[i, k] = value[k] / max(1e-12, np.linalg.norm(value[k]))
+    x[:, -1] = 1.0
+    q, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(n)
+    step = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, c)
+    w = quality.dual_descent(index, value, y, c, epochs=5000)
+    assert np.allclose(w, (alpha * y) @ x, atol=0.02)
+
+
+def test_labels_with_clashing_columns(spark):
+    rows = cases.rows(3)
+    labels = [(r[0], k % 2) for k, r in enumerate(rows)]
+    docs = cases.frame(spark, 3)
+    plain = spark.createDataFrame(labels, "doc_id long, quality int")
+    clash = spark.createDataFrame([(i, q, "t", "x", 0.5, 7, True) for i, q in labels], "doc_id long, quality int, text string, y string, _key double, share int, held_out boolean")
+    got = [sorted(map(tuple, quality.op10(docs, t).collect())) for t in (plain, clash)]
+    assert got[0] == got[1]
