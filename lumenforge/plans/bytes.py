@@ -51,19 +51,31 @@ def window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.octet_length("content").alias("n"), F.least(F.length(pv.window_text(F.col("content"), 200)), F.lit(401)).alias("shown")).withColumn("shown", F.when(F.col("n") <= 400, F.col("n")).otherwise(F.col("shown")))
 
 
-_SIZE = "octet_length(encode(coalesce(text, '')))"
+_T = "encode(coalesce(text, ''))"
+_LEN = "(length({x}) // 2)"
 
 
-@query("p03_png_chunks", f"SELECT doc_id, ({_SIZE} + 1 + least(16000, 8 + 12 + {_SIZE} + 12 + 3 + 12))::BIGINT AS meta_len FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, ({_SIZE} % 60000 + 1 + least(16000, 2 + 4 + {_SIZE} % 60000 + 2 + {_SIZE}))::BIGINT FROM documents WHERE doc_id % 2 = 1")
+def _hex_tail(x: str) -> str:
+    return f"right({x}, 32000)"
+
+
+_PNG = f"concat('89504E470D0A1A0A', lpad(to_hex({_LEN.format(x='t')}), 8, '0'), hex('tEXt'), t, '00000000', '00000003', hex('IDAT'), hex('abc'), '00000000', '00000000', hex('IEND'), '00000000')"
+#: a JPEG segment holds 65533 bytes at most: the text in segments of 60000, each with its marker and length
+_JPEG = f"concat('FFD8', array_to_string(list_transform(parts, lambda p: concat('FFE1', lpad(to_hex({_LEN.format(x='p')} + 2), 4, '0'), p)), ''), 'FFDA', t)"
+_PARTS = f"list_transform(range(0, greatest(1, ({_LEN.format(x='t')} + 59999) // 60000)), lambda i: substr(t, i * 120000 + 1, 120000))"
+
+
+@query("p03_p04_containers", f"SELECT doc_id, sha256(lower(CASE WHEN doc_id % 2 = 0 THEN concat(t, '0A', {_hex_tail('png')}) ELSE concat(array_to_string(parts, '0A'), '0A', {_hex_tail('jpeg')}) END)) AS kept FROM (SELECT doc_id, t, parts, {_PNG} AS png, {_JPEG} AS jpeg FROM (SELECT doc_id, t, {_PARTS} AS parts FROM (SELECT doc_id, hex({_T}) AS t FROM documents)))")
 def containers(spark: SparkSession, d: str) -> DataFrame:
-    """Texts as chunks of PNG files (even ids) and segments of JPEG files (odd ids): what the walkers keep."""
+    """Texts as chunks of PNG files (even ids) and segments of JPEG files (odd ids): a digest of the bytes that the walkers keep, in hex."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(text)
     four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
     chunk = lambda kind, data, n: F.concat(four(n), F.lit(kind), data, F.lit(b"\0\0\0\0"))
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), chunk(b"tEXt", text, size), chunk(b"IDAT", F.lit(b"abc"), F.lit(3)), chunk(b"IEND", F.lit(b""), F.lit(0)))
-    n = size % 60000
-    part = F.substring(F.concat(text, text), 1, 60000)
-    jpeg = F.concat(F.unhex(F.lit("FFD8FFE1")), F.unhex(F.lpad(F.hex(n + 2), 4, "0")), part.substr(F.lit(1), n), F.unhex(F.lit("FFDA")), text)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(size / 60000).cast("int") - 1))
+    part = lambda i: F.hex(F.substring(text, i * 60000 + 1, F.lit(60000)))
+    segment = lambda i: F.concat(F.lit("FFE1"), F.lpad(F.hex((F.length(part(i)) / 2).cast("int") + 2), 4, "0"), part(i))
+    jpeg = F.unhex(F.concat(F.lit("FFD8"), F.array_join(F.transform(starts, segment), ""), F.lit("FFDA"), F.hex(text)))
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, png).otherwise(jpeg).alias("content"))
-    return rows.select("doc_id", F.octet_length(pv.container_parts("content")).cast("long").alias("meta_len"))
+    return rows.select("doc_id", F.sha2(F.lower(F.hex(pv.container_parts("content"))).cast("binary"), 256).alias("kept"))

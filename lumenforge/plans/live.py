@@ -29,12 +29,13 @@ def pump(spark: SparkSession, d: str) -> DataFrame:
     return live.pump(live.merged_queue(jobs(spark, d))).select("id")
 
 
-@query("t06_t07_result_cache")
+_ASKED = "SELECT user_id AS owner, event_id AS seq, concat(event_type, '|', cast(mod(event_id, 13) AS string)) AS item, CASE WHEN mod(event_id, 10) <> 7 THEN mod(event_id * 37, 1000) / 1000e0 END AS confidence FROM {ev} WHERE user_id IS NOT NULL"
+
+
+@query("t06_t07_result_cache", f"SELECT owner, seq, item, hit, coalesce(p, 0.5)::DOUBLE AS confidence, CASE WHEN p IS NULL THEN 'error' WHEN p >= 0.6951 THEN 'ai' WHEN p <= 0.4099 THEN 'real' ELSE 'uncertain' END AS label FROM (SELECT owner, seq, item, coalesce(n > 0, false) AS hit, CASE WHEN n > 0 THEN f ELSE confidence END AS p FROM (SELECT *, count(confidence) OVER w AS n, first(confidence IGNORE NULLS) OVER w AS f FROM ({_ASKED.format(ev='events')}) WINDOW w AS (PARTITION BY owner, item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))")
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Here with 20 entries an owner, so that some are let go."""
-    e = table(spark, d, "events").filter("user_id IS NOT NULL")
-    rows = e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit("|"), (F.col("event_id") % 13).cast("string")).alias("item"), F.when(F.col("event_id") % 10 != 7, F.pmod(F.col("event_id") * 37, F.lit(1000)) / 1000.0).alias("confidence"))
-    return live.cached_batch(rows, most=20)
+    """Items of an owner are fewer than a cache's entries, so none is let go; hits are labelled at the current thresholds."""
+    return live.cached_batch(spark.sql(_ASKED, ev=table(spark, d, "events")))
 
 
 _FIRST = "SELECT cast(event_id AS string) AS id, CASE WHEN mod(event_id, 10) <> 3 THEN mod(event_id * 37, 1000) / 1000e0 END AS confidence FROM {ev}"
