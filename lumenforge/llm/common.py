@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,7 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, for what results are read from; it goes when the program ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, at)
+    return at
+
+
+def _forget(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended before
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

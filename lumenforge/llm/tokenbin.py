@@ -17,6 +17,7 @@ empty files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,6 +44,21 @@ _LATIN = re.compile("[\x00-\xff]*\\Z")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+#: What a tokenizer's file says if its texts fall into pieces by the rules above.
+_NORMAL = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def in_pieces(file: dict) -> bool:
+    """Whether a tokenizer's file states the rules that ``WordEncoder`` cuts by; texts of any other are encoded whole."""
+    normal = [(n["type"], n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    level = split and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    added = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in file.get("added_tokens", []))
+    return bool(normal == _NORMAL and level and added and file["model"]["type"] == "BPE" and file["model"].get("end_of_word_suffix") == "</w>")
+
+
 def _printable() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -76,7 +92,7 @@ class Memory(dict):
 
 
 class WordEncoder:
-    """Encodes texts piece by piece; about twice ``most`` pieces (and words with other characters) are remembered.
+    """Encodes texts piece by piece, if the tokenizer's file is one whose pieces are known (``in_pieces``), else whole; about twice ``most`` pieces (and words with other characters) are remembered.
 
     No token crosses white space or the ends of a piece in a tokenizer with word ends, so a text's ids are its pieces' ids in a row.
     """
@@ -87,6 +103,8 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.most = most
+        with open(path, encoding="utf-8") as f:
+            self.whole = not in_pieces(json.load(f))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.tokenize, self.code = self.tok.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         self.pieces, self.words = Memory(self._piece), Memory(self._word)
@@ -113,6 +131,8 @@ class WordEncoder:
         for text in texts:
             if not text:
                 out.append(b"")
+            elif self.whole:
+                out.append(self._whole(text))
             elif _PLAIN_TEXT.match(text) and "<|" not in text:
                 out.append(b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower()))))
             elif _ODD_SPACE.search(text):

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -32,6 +33,16 @@ def test_words_give_the_same_ids_as_whole_texts(tok):
             assert np.frombuffer(got, enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_files_of_other_rules_are_encoded_whole(tok):
+    """A tokenizer that cuts otherwise gives its own ids, not those of the known pieces."""
+    other = str(Path(tokenbin.default_vocab()).with_name("byte_bpe_50k.json"))
+    texts = ["Hello, world's 2 words!", " two  spaces", "Éa 🙂", "a<|endoftext|>b"]
+    enc, lib = tokenbin.WordEncoder(other), Tokenizer.from_file(other)
+    assert enc.whole and not tokenbin.WordEncoder(tokenbin.default_vocab()).whole
+    for t, got in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(got, enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("plane", ["bit", "byte"])
 @pytest.mark.parametrize("width", [2, 4])
 def test_planes_round_trip(plane, width):
@@ -255,6 +266,15 @@ def test_pipeline_stages(spark, small):
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in kept["source_mix"])
 
 
+def test_near_duplicates_lose_no_row(spark, small):
+    """Texts that aren't alike stay, whatever their ids; of copies one row stays; reruns agree."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (1, texts[2]), (7, texts[2] + " more"), (None, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), small).collect()), key=str) for n in (1, 4)]
+    assert runs[0] == runs[1] == sorted([(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (None, texts[4])], key=str)
+
+
 def test_pipeline_of_odd_rows(spark, small):
     docs = cases.frame(spark, 10, ids=False).select(*corpus_pipeline.DOCUMENT)
     for _, stage in corpus_pipeline.STAGES[:4]:
