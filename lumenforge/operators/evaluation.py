@@ -59,18 +59,37 @@ def summary(rows: DataFrame, by: list[str] | None = None, cut: float = EVAL_CUT,
     return rates(out).withColumn("subset_tpr", F.try_divide(F.col("subset_tp").cast("double"), F.col("subset_n").cast("double")))
 
 
-def nearest_rank(col: str, *percents: int) -> list[Column]:
-    return [F.coalesce(F.expr(f"percentile_disc({p / 100}D) WITHIN GROUP (ORDER BY {col})"), F.lit(0.0)).alias(f"p{p}_{col}") for p in percents]
+def nearest_ranks(rows: DataFrame, by: list[str], col: str, percents: tuple[int, ...]) -> DataFrame:
+    """Per group the smallest value that at least so many percent of its rows don't exceed, as p<percent>_<col>; groups without values are left out.
+
+    Rows are counted by value first. Whole units are added up to find a percentile's
+    unit, and only that unit's values are gone through, so no task holds a group's values.
+    """
+    unit, within = W.partitionBy(*by).orderBy("_u"), W.partitionBy(*by, "_u", "_p").orderBy(col)
+    counted = rows.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n")).withColumn("_u", F.floor(col))
+    units = counted.groupBy(*by, "_u").agg(F.sum("_n").alias("_m"))
+    units = units.withColumns({"_upto": F.sum("_m").over(unit), "_all": F.sum("_m").over(W.partitionBy(*by))})
+    asked = units.withColumn("_p", F.explode(F.array(*map(F.lit, percents)))).withColumn("_r", F.floor((F.col("_p") * F.col("_all") + 99) / 100))
+    asked = asked.filter((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_m") < F.col("_r"))).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_u").alias("_unit"), "_p", (F.col("_r") - F.col("_upto") + F.col("_m")).alias("_rest"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("_u") == F.col("_unit"))
+    found = counted.join(asked, same).withColumn("_at", F.sum("_n").over(within)).filter((F.col("_at") >= F.col("_rest")) & (F.col("_at") - F.col("_n") < F.col("_rest")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col(col))).alias(f"p{p}_{col}") for p in percents])
 
 
 def timing(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """rows: total_ms, ran_second, second_ms, first_ms, has_timing."""
     mean = lambda c, when: F.coalesce(F.avg(F.when(when, F.col(c))), F.lit(0.0))
+    if not by:
+        return timing(rows.withColumn("_whole", F.lit(0)), ["_whole"]).drop("_whole")
     known = F.col("has_timing")
-    return rows.groupBy(*(by or [])).agg(
-        F.coalesce(F.avg("total_ms"), F.lit(0.0)).alias("avg_total_ms"), *nearest_rank("total_ms", 50, 90), F.count("*").alias("n"),
+    out = rows.groupBy(*by).agg(
+        F.coalesce(F.avg("total_ms"), F.lit(0.0)).alias("avg_total_ms"), F.count("*").alias("n"),
         F.count_if(known & F.col("ran_second")).alias("second_n"), mean("first_ms", known).alias("avg_first_ms"), mean("second_ms", known & F.col("ran_second")).alias("avg_second_ms"),
     )
+    ranks = nearest_ranks(rows, by, "total_ms", (50, 90))
+    ranks = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in by], "p50_total_ms", "p90_total_ms")
+    joined = out.join(ranks, reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_r_{c}")), by, F.lit(True)), "left").drop(*[f"_r_{c}" for c in by])
+    return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("p50_total_ms", "p90_total_ms")})
 
 
 def sigmoid(x: Column) -> Column:

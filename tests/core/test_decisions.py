@@ -84,7 +84,7 @@ def test_rates_of_empty_classes_and_errors(spark):
 
 def test_nearest_rank(spark):
     rows = spark.range(1, 11).select(F.col("id").cast("double").alias("v"))
-    assert tuple(rows.agg(*ev.nearest_rank("v", 50, 90)).first()) == (5.0, 9.0)
+    assert tuple(ev.nearest_ranks(rows.withColumn("g", F.lit(None).cast("string")), ["g"], "v", (50, 90)).first()) == (None, 5.0, 9.0)
 
 
 def test_sweep_equals_the_grid(spark):
@@ -119,3 +119,18 @@ def test_gate(spark):
     rows = rules.with_rules(spark.createDataFrame(data, SCHEMA))
     got = {r[0]: r[1] for r in rows.select("name", F.expr(rules.needs_cascade())).collect()}
     assert got == {"decisive": False, "elevated": True, "low": True, "small": True, "drawn": True}
+
+
+def test_percentiles_match_a_sort(spark):
+    """Nearest ranks of groups with ties, one value, nulls and negative values."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(g, rng.choice([None, rng.gauss(0, 30), float(rng.randint(-3, 3)), 7.25])) for g in ("a", "b", None) for _ in range(rng.randint(1, 200))] + [("one", 4.5), ("none", None)]
+    got = {r[0]: tuple(r)[1:] for r in ev.nearest_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", (1, 50, 90, 100)).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for y, x in rows if y == g and x is not None)
+        if v:
+            want[g] = tuple(v[max(1, -(-p * len(v) // 100)) - 1] for p in (1, 50, 90, 100))
+    assert got == want
