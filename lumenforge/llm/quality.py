@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import give_back, id_crc
 from .ngrams import chunks, presence
 from .sampling import balanced_sample
 
@@ -66,19 +66,19 @@ def dual_descent(index: list[np.ndarray], value: np.ndarray, y: np.ndarray, c: n
     holds value[index[i]]; rows are scaled to length 1. c: upper bound of each row's dual.
     """
     w, bias, alpha = np.zeros(len(value)), 0.0, np.zeros(len(index))
-    xs = [value[idx].astype(np.float32) for idx in index]
-    for v in xs:
-        v /= max(1e-12, float(np.sqrt(np.dot(v, v))))
-    diag = np.array([float(np.dot(v, v)) + 1.0 for v in xs])
+    size = np.array([float(np.dot(v, v)) for v in (value[idx] for idx in index)])
+    scale, diag = 1.0 / np.maximum(1e-12, np.sqrt(size)), np.where(size > 0, 2.0, 1.0)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(index)):
-            g = y[i] * (float(w[index[i]] @ xs[i]) + bias) - 1.0
+            at = index[i]
+            x = value[at] * scale[i]  # made anew, as all rows' values would be most of the driver's memory
+            g = y[i] * (float(w[at] @ x) + bias) - 1.0
             new = min(max(alpha[i] - g / diag[i], 0.0), c[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[index[i]] += step * xs[i]
+                w[at] += step * x
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -107,7 +107,8 @@ def fit(labels: list, x: np.ndarray, share: float, cost: float = 1.0) -> dict:
     y = np.where(np.array(labels, float) > 0.5, 1, -1) if labels else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return {"weight": None, "constant": float(y[0] > 0) if len(y) else 0.5}
-    index = [np.flatnonzero(np.unpackbits(r)).astype(np.int32) for r in x]  # half the driver's memory
+    narrow = np.uint16 if x.shape[1] * 8 <= 1 << 16 else np.int32  # the driver holds all of these
+    index = [np.flatnonzero(np.unpackbits(r)).astype(narrow) for r in x]
 
     def model(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ratio = log_count_ratio(x[rows], y[rows])
@@ -147,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, orders: tupl
     chosen = balanced_sample(known, "doc_id", "y", sample)
     # at most 2 * sample ids, so the broadcast is bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * sample)
-    return fit(*bitmaps(rows, "doc_id", "text", "y", orders, bits), share=float(share))
+    model = fit(*bitmaps(rows, "doc_id", "text", "y", orders, bits), share=float(share))
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: dict, threshold: float = 0.3, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
