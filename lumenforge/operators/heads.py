@@ -78,6 +78,19 @@ def rasters(files: DataFrame) -> DataFrame:
     return flat.filter("width > 0").mapInPandas(run, "path string, width int, height int, rgb binary")
 
 
+#: Columns of pandas that hold nulls, by Spark's type; any other type stays an object.
+_PANDAS = {"int": "Int32", "long": "Int64", "bigint": "Int64", "double": "float64", "boolean": "boolean"}
+
+
+def _typed(pdf: pd.DataFrame, columns: str) -> pd.DataFrame:
+    """The columns in their types, whatever a batch holds: pandas makes all nulls a column of numbers otherwise."""
+    for name, kind in (c.split() for c in columns.split(", ")):
+        column = pdf[name].astype(object).where(pdf[name].notna(), None)
+        pdf[name] = column.astype(_PANDAS[kind]) if kind in _PANDAS else column
+    return pdf
+
+
+_SCORED = "s double, d double, mark double, mark_detail string, mark_stop boolean, min_side int"
 _MEASURED = ", ".join(f"{n} {'int' if n in ('colors', 'f_colors') else 'double'}" for n in raster.NAMES)
 
 
@@ -106,13 +119,12 @@ def measured(images: DataFrame, key: str, head: str = "stub", carry: tuple[str,
                 mark, detail, stop = raster.visible_mark(x)
                 rows.append({n: f[n] for n in raster.NAMES} | {"s": f["score"], "d": float(next(d)), "mark": mark, "mark_detail": detail, "mark_stop": stop, "min_side": min(x.shape[:2])})
             out = pd.DataFrame(rows, columns=[*raster.NAMES, "s", "d", "mark", "mark_detail", "mark_stop", "min_side"])
-            for c in ("colors", "f_colors", "min_side"):
-                out[c] = out[c].astype("Int32")
+            out = _typed(out, f"{_MEASURED}, {_SCORED}")
             for c in passed:
                 out.insert(0, c, pdf[c].to_numpy())
             yield out
 
-    return images.select(key, *carry, "width", "height", "rgb").mapInPandas(run, f"{kept}, {_MEASURED}, s double, d double, mark double, mark_detail string, mark_stop boolean, min_side int")
+    return images.select(key, *carry, "width", "height", "rgb").mapInPandas(run, f"{kept}, {_MEASURED}, {_SCORED}")
 
 
 def second_head(rows: DataFrame, needs: Column, head: str) -> DataFrame:
@@ -164,7 +176,7 @@ def per_raster(images: DataFrame, key: str, columns: str, f: Callable[[np.ndarra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [f(x) if x is not None else (None,) * len(names) for x in arrays(pdf)]
-            out = pd.DataFrame(rows, columns=names)
+            out = _typed(pd.DataFrame(rows, columns=names, dtype=object), columns)
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 

@@ -134,6 +134,22 @@ def test_the_whole_flow_is_its_parts_in_order(spark):
         assert got[3].prov_detail == "visible-watermark:xai" and got[4].label == "ai" and got[3].label == "ai"
 
 
+@pytest.mark.parametrize("rows", [[(1, None)], [(1, None), (2, 48)], [(1, None), (2, None), (3, 48), (4, None)]])
+def test_batches_without_rasters(spark, rows):
+    """Each row is a partition of its own, so that some hold nothing but nulls."""
+    blob = lambda side: (side, side, bytearray(noise(side, side).tobytes())) if side else (None, None, None)
+    kinds = "image_id int, content binary, width int, height int, rgb binary"
+    table = spark.sparkContext.parallelize([(k, bytearray(b"x"), *blob(side)) for k, side in rows], len(rows)).toDF(kinds)
+    none = {k for k, side in rows if side is None}
+    for got in (heads.measured(table, "image_id"), heads.second_head(table, F.lit(True), "stub"), heads.detect(table), heads.detect(table, second="stub"), heads.per_raster(table, "image_id", "a double, b string, c boolean, e int, f long", lambda x: (1.5, "s", True, 2, 3))):
+        assert got.count() == len(rows)
+    assert {r.image_id for r in heads.measured(table, "image_id").collect() if r.s is None and r.mark_stop is None and r.mark_detail is None} == none
+    assert {r.image_id for r in heads.second_head(table, F.lit(True), "stub").collect() if r.f is None} == none
+    made = {r.image_id: tuple(r)[1:] for r in heads.per_raster(table, "image_id", "a double, b string, c boolean, e int, f long", lambda x: (1.5, "s", True, 2, 3)).collect()}
+    assert made == {k: (None,) * 5 if k in none else (1.5, "s", True, 2, 3) for k, _ in rows}
+    assert {r.image_id for r in heads.detect(table, second="stub").collect() if r.label != "error"} >= none
+
+
 def test_decoded_files_give_the_same_features(spark, tmp_path):
     images = {f"{k}": noise(48, 40, k) for k in range(3)}
     (tmp_path / "ai" / "Some Domain").mkdir(parents=True)
