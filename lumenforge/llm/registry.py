@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lmscore, mixing, pii, quality, simhash, suffixdedup, tokenbin, topk
+from . import clusters, decontam, langid, lmscore, mixing, pii, quality, runs, simhash, suffixdedup, tokenbin, topk, wordbpe
 from .common import table
 from .sql import ORACLE_SQL
 
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_source_mix": lambda spark, d: mixing.op8(table(spark, d, "documents")),
     "op9_exact_topk": lambda spark, d: topk.op9(table(spark, d, "embeddings")),
     "op10_quality": lambda spark, d: quality.op10(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_annulus_clusters": lambda spark, d: clusters.op11(table(spark, d, "embeddings")),
+    "op12_byte_bpe": lambda spark, d: wordbpe.op12(table(spark, d, "documents")),
+    "op13_word_runs": lambda spark, d: runs.op13(table(spark, d, "documents")),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
