@@ -11,8 +11,9 @@
 4. Decoding joins ids with the table of tokens' bytes (as large as the vocabulary,
    which bounds it, so it is broadcast).
 
-Words and numbers are written once (Spark's committer; both come from one pass, so a
-repeated task can't number them differently) to the shared folder.
+Words and numbers are written once to the shared folder (Spark's committer; both come from
+one pass, so a repeated task can't number them differently), bucketed by chunk: numbers,
+most of the bytes, stay where they are and only words and their ids are shuffled.
 
 Pre-tokens are found with ``regex``; letters and digits are the tokenizer library's own:
 characters of which the two libraries think otherwise (Unicode versions) are replaced by
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from array import array
 from collections import defaultdict
@@ -42,9 +44,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, giving_back, partitions, remove_dir
+from .common import cut, giving_back, partitions, remove_dir, shared_dir
 
-CHUNK_BYTES, PIECE_TOKENS = 1 << 25, 1 << 17
+CHUNK_BYTES, PIECE_TOKENS = 1 << 24, 1 << 17
 #: Characters of a kind on which all versions of Unicode agree, none of them part of a contraction.
 _KINDS = {(True, False): "Ж", (False, True): "7", (False, False): "§"}
 #: A blank behind white space; a blank behind anything else, where texts may be cut.
@@ -205,7 +207,7 @@ COLUMNS = ["kind", "chunk", "bucket", "place", "lens", "body", "ids"]
 
 
 def encode_words(words: DataFrame, ranks: str) -> DataFrame:
-    """Rows of kind 0 with ids instead of words; each different word of a bucket is encoded once."""
+    """Words' ids in place of the words of rows of kind 0; each different word of a bucket is encoded once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -226,56 +228,64 @@ def encode_words(words: DataFrame, ranks: str) -> DataFrame:
                         got = known[w] = np.array(one(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
                     coded.append(got)
                 flat = np.frombuffer(b"".join(coded), "<u4")
-                out.append({"kind": 0, "chunk": r["chunk"], "bucket": r["bucket"], "place": r["place"], "lens": _planes(_lens(coded) // 4, press), "body": _planes(flat, press)})
-            yield pd.DataFrame(out, columns=COLUMNS[:-1])
+                out.append({"chunk": r["chunk"], "place": r["place"], "lens": _planes(_lens(coded) // 4, press), "body": _planes(flat, press)})
+            yield pd.DataFrame(out, columns=["chunk", "place", "lens", "body"])
 
-    return words.mapInPandas(giving_back(run), "kind int, chunk long, bucket int, place long, lens binary, body binary")
+    return words.mapInPandas(giving_back(run), "chunk long, place long, lens binary, body binary")
 
 
-def assemble(rows: DataFrame, kind: str) -> DataFrame:
-    """doc_id, ids (uint32, little-endian) from rows that stand chunk by chunk, the words' ids first."""
+def assemble(coded: DataFrame, numbered: DataFrame, kind: str) -> DataFrame:
+    """doc_id, ids (uint32, little-endian): each chunk's ids in the place of its numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lens, flat, ready = None, [], [], None
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                if r["chunk"] != now:
-                    now, lens, flat, ready = r["chunk"], [], [], None
-                if r["kind"] == 0:
-                    lens.append(_unplanes(r["lens"]))
-                    flat.append(_unplanes(r["body"]))
-                    continue
-                if ready is None:
-                    n = np.concatenate(lens).astype(np.int64) if lens else np.zeros(0, np.int64)
-                    ready = n, np.cumsum(n) - n, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-                    lens, flat = [], []
-                n, begin, ids = ready
-                seq, count = _unplanes(r["body"]), _unplanes(r["lens"]).astype(np.int64)
-                size = n[seq]
-                ends = np.cumsum(size)
-                body = ids[_spread(begin[seq], size)].astype("<u4").tobytes()
-                stops = np.r_[0, ends][np.cumsum(count)] * 4
-                starts = np.r_[0, stops[:-1]]
-                names = pd.Series(list(r["ids"]), dtype=object)
-                yield pd.DataFrame({"doc_id": names.where(names.notna(), None), "ids": [body[a:b] for a, b in zip(starts.tolist(), stops.tolist())]})
-
-    return rows.mapInPandas(giving_back(run), f"doc_id {kind}, ids binary")
-
-
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids (unsigned 32-bit, little-endian) of every row. Words and numbers lie in the folder ``path`` as long as the result is read."""
+    def run(ids: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        ids = ids.sort_values("place")
+        flat = np.concatenate([np.zeros(0, np.uint32), *map(_unplanes, ids["body"])])
+        size_of = np.concatenate([np.zeros(0, np.uint32), *map(_unplanes, ids["lens"])]).astype(np.int64)
+        begin = np.cumsum(size_of) - size_of
+        names, out = [], []
+        for who, lens, body in zip(pieces["ids"], pieces["lens"], pieces["body"]):
+            seq, count = _unplanes(body), _unplanes(lens).astype(np.int64)
+            size = size_of[seq]
+            found = flat[_spread(begin[seq], size)].astype("<u4").tobytes()
+            stops = np.r_[0, np.cumsum(size)][np.cumsum(count)] * 4
+            out += [found[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+            names += list(who)
+        column = pd.Series(names, dtype=object)
+        return pd.DataFrame({"doc_id": column.where(column.notna(), None), "ids": out})
+
+    both = coded.groupBy("chunk").cogroup(numbered.groupBy("chunk"))
+    return both.applyInPandas(run, f"doc_id {kind}, ids binary")
+
+
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, name: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids (unsigned 32-bit, little-endian) of every row.
+
+    Words and numbers lie in the table ``name``, bucketed by chunk so that numbers needn't be
+    shuffled, as long as the result is read; ``forget`` removes it.
+    """
     spark = docs.sparkSession
-    path = path or fresh_dir(spark, "words")
+    name = name or new_name()
     n = partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     exploded = explode(docs, pattern or default_pattern(), 4 * n, id_col)
-    schema = exploded.drop("kind").schema.add("kind", "integer")
-    exploded.write.partitionBy("kind").option("compression", "none").parquet(path)
-    held = spark.read.schema(schema).parquet(path).select(*COLUMNS)
+    exploded.write.partitionBy("kind").bucketBy(n, "chunk").option("compression", "none").option("path", _place(spark, name)).saveAsTable(name)
+    held = spark.table(name)
     words = held.filter("kind = 0").drop("ids").repartition(n, "bucket").sortWithinPartitions("bucket")
-    coded = encode_words(words, ranks or default_ranks())
-    together = coded.unionByName(held.filter("kind = 1"), allowMissingColumns=True)
-    return assemble(together.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "place"), kind)
+    return assemble(encode_words(words, ranks or default_ranks()), held.filter("kind = 1"), kind)
+
+
+def new_name() -> str:
+    return f"words_{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}"
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Remove the table that ``encode`` wrote, once its result has been read."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove_dir(spark, _place(spark, name))
 
 
 def token_bytes(spark: SparkSession, ranks: str | None = None) -> DataFrame:
@@ -301,10 +311,9 @@ def decode(encoded: DataFrame, table: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def op12(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    path = fresh_dir(spark, "words")
-    both = decode(encode(docs, path=path), token_bytes(spark))
+    spark, name = docs.sparkSession, new_name()
+    both = decode(encode(docs, name=name), token_bytes(spark))
     n = F.expr("cast(octet_length(ids) div 4 as long)")
     out = cut(both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
-    remove_dir(spark, path)
+    forget(spark, name)
     return out
