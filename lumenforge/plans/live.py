@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.session import table
-from lumenforge.streaming import live
+from lumenforge.streaming import live, slots
 
 from .catalog import query
 
@@ -24,11 +24,57 @@ def queue_merge(spark: SparkSession, d: str) -> DataFrame:
     return live.merged_queue(jobs(spark, d)).withColumn("priority", F.round("priority", 6))
 
 
-@query("t03_t04_t05_pump", f"SELECT id FROM (SELECT *, max(priority) OVER () AS best FROM (SELECT * FROM ({_MERGED}) ORDER BY priority DESC, id LIMIT 8)) WHERE best < 900000 OR priority >= 900000")
+@query("t03_pump", f"SELECT id FROM (SELECT *, max(priority) OVER () AS best FROM (SELECT * FROM ({_MERGED}) ORDER BY priority DESC, id LIMIT 8)) WHERE best < 900000 OR priority >= 900000")
 def pump(spark: SparkSession, d: str) -> DataFrame:
     return live.pump(live.merged_queue(jobs(spark, d))).select("id")
 
 
+#: A page's events: of ten ids some are asked for, at priorities in and out of sight, checked, done or failed, in any order.
+_PAGE = "SELECT user_id AS owner, event_id AS seq, CASE WHEN mod(event_id * 31, 16) < 9 THEN 'job' WHEN mod(event_id * 31, 16) < 11 THEN 'check' WHEN mod(event_id * 31, 16) < 15 THEN 'done' ELSE 'failed' END AS kind, concat('i', cast(mod(mod(event_id * 7919, 1009), 23) AS string)) AS id, CASE WHEN mod(event_id * 13, 7) < 2 THEN 1e6 ELSE 5e5 END - mod(event_id * 101, 997) AS priority, mod(event_id, 5) = 2 AS bypass FROM {ev} WHERE user_id IS NOT NULL"
+
+
+def _page_sql() -> str:
+    """One event of every owner a step; lists are what a page holds."""
+    mine, other = "list_filter(queue, lambda j: j.id = e.id)", "list_filter(queue, lambda j: j.id <> e.id)"
+    job = "struct_pack(id := {i}, priority := {p}, bypass := {b}, put := {a})"
+    old = lambda name, none: f"CASE WHEN len({mine}) > 0 THEN ({mine})[1].{name} ELSE {none} END"
+    at_work = "len(list_filter(flight, lambda j: j.id = e.id)) > 0"
+    me = "(list_filter(flight, lambda j: j.id = e.id))[1]"
+    way = f"e.kind = 'check' AND {at_work} AND {me}.priority < 900000 AND len(list_filter({other}, lambda j: j.priority >= 900000)) > 0"
+    ended = f"e.kind IN ('done', 'failed') AND {at_work}"
+    asked = job.format(i="e.id", p="e.priority::DOUBLE", b=f"(e.bypass OR {old('bypass', 'false')})", a=old("put", "e.seq"))
+    back = job.format(i="e.id", p=old("priority", f"{me}.priority"), b=f"({me}.bypass OR {old('bypass', 'false')})", a=old("put", "e.seq"))
+    turn = "len(list_filter(queue, lambda j: j.priority > x.priority OR (j.priority = x.priority AND j.put < x.put)))"
+    kind = "STRUCT(id VARCHAR, priority DOUBLE, bypass BOOLEAN, put BIGINT)[]"
+    return f"""
+WITH RECURSIVE ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY seq) AS k FROM ({_PAGE.format(ev='events')})),
+step AS (
+  SELECT owner, 0::BIGINT AS k, NULL::BIGINT AS seq, []::{kind} AS queue, []::{kind} AS flight, []::VARCHAR[] AS finished, NULL::VARCHAR AS started, NULL::VARCHAR AS inferring, NULL::VARCHAR AS yielded FROM (SELECT DISTINCT owner FROM ev)
+  UNION ALL
+  SELECT owner, k, seq, CASE WHEN NOT room THEN queue WHEN pick IS NULL THEN []::{kind} ELSE list_filter(queue, lambda x: x.priority < pick.priority OR (x.priority = pick.priority AND x.put > pick.put)) END,
+    CASE WHEN pick IS NULL THEN flight ELSE list_append(flight, pick) END, finished, pick.id,
+    (list_filter(list_transform((CASE WHEN pick IS NULL THEN flight ELSE list_append(flight, pick) END)[1:6], lambda x: x.id), lambda i: NOT list_contains(slot_before, i) OR coalesce(i = yielded, false)))[1], yielded
+  FROM (
+    SELECT *, len(flight) < 8 AS room, CASE WHEN len(flight) < 8 THEN (list_sort(list_transform(list_filter(queue, lambda x: NOT list_contains(list_transform(flight, lambda j: j.id), x.id) AND (x.bypass OR NOT list_contains(finished, x.id))), lambda x: struct_pack(p := -x.priority, put := x.put, x := x))))[1].x END AS pick
+    FROM (
+      SELECT owner, e.k, e.seq, list_transform(flight[1:6], lambda j: j.id) AS slot_before,
+        CASE WHEN e.kind = 'job' THEN list_append({other}, {asked}) WHEN {way} THEN list_append({other}, {back}) ELSE queue END AS queue,
+        CASE WHEN {ended} OR ({way}) THEN list_filter(flight, lambda j: j.id <> e.id) ELSE flight END AS flight,
+        CASE WHEN e.kind = 'done' AND {at_work} AND NOT list_contains(finished, e.id) THEN list_append(finished, e.id) ELSE finished END AS finished,
+        CASE WHEN {way} THEN e.id END AS yielded
+      FROM step JOIN ev e USING (owner) WHERE e.k = step.k + 1
+    )
+  )
+)
+SELECT owner, seq, started, inferring, yielded, len(queue)::INT AS waiting, len(flight)::INT AS in_flight FROM step WHERE k > 0"""
+
+
+@query("t02_t03_t04_t05_slots", _page_sql())
+def page_slots(spark: SparkSession, d: str) -> DataFrame:
+    """What starts, infers and gives way, event by event."""
+    return slots.replayed(spark.sql(_PAGE, ev=table(spark, d, "events"))).drop("expired")
+
+
 _ASKED = "SELECT user_id AS owner, event_id AS seq, concat(event_type, '|', cast(mod(event_id, 13) AS string)) AS item, CASE WHEN mod(event_id, 10) <> 7 THEN mod(event_id * 37, 1000) / 1000e0 END AS confidence FROM {ev} WHERE user_id IS NOT NULL"
 
 
