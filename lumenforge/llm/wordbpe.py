@@ -34,7 +34,7 @@ import uuid
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,9 +44,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, giving_back, partitions, remove_dir, shared_dir
+from .common import cut, give_back, giving_back, partitions, remove_dir, shared_dir
 
-CHUNK_BYTES, PIECE_TOKENS = 1 << 24, 1 << 17
+CHUNK_BYTES, PIECE_TOKENS = 1 << 23, 1 << 17
 #: Characters of a kind on which all versions of Unicode agree, none of them part of a contraction.
 _KINDS = {(True, False): "Ж", (False, True): "7", (False, False): "§"}
 #: A blank behind white space; a blank behind anything else, where texts may be cut.
@@ -234,8 +234,12 @@ def encode_words(words: DataFrame, ranks: str) -> DataFrame:
     return words.mapInPandas(giving_back(run), "chunk long, place long, lens binary, body binary")
 
 
-def assemble(coded: DataFrame, numbered: DataFrame, kind: str) -> DataFrame:
+Also = tuple[Callable[[pd.DataFrame], pd.DataFrame], str]
+
+
+def assemble(coded: DataFrame, numbered: DataFrame, kind: str, also: Also | None = None) -> DataFrame:
     """doc_id, ids (uint32, little-endian): each chunk's ids in the place of its numbers."""
+    then, more = also or (lambda pdf: pdf, "")
 
     def run(ids: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
         ids = ids.sort_values("place")
@@ -251,14 +255,16 @@ def assemble(coded: DataFrame, numbered: DataFrame, kind: str) -> DataFrame:
             out += [found[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
             names += list(who)
         column = pd.Series(names, dtype=object)
-        return pd.DataFrame({"doc_id": column.where(column.notna(), None), "ids": out})
+        done = then(pd.DataFrame({"doc_id": column.where(column.notna(), None), "ids": out}))
+        give_back()
+        return done
 
     both = coded.groupBy("chunk").cogroup(numbered.groupBy("chunk"))
-    return both.applyInPandas(run, f"doc_id {kind}, ids binary")
+    return both.applyInPandas(run, f"doc_id {kind}, ids binary{more}")
 
 
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, name: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids (unsigned 32-bit, little-endian) of every row.
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, name: str | None = None, id_col: str = "doc_id", also: Also | None = None) -> DataFrame:
+    """doc_id and ids (unsigned 32-bit, little-endian) of every row; also: what is done with each batch of them, and the columns that it adds.
 
     Words and numbers lie in the table ``name``, bucketed by chunk so that numbers needn't be
     shuffled, as long as the result is read; ``forget`` removes it.
@@ -271,7 +277,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     exploded.write.partitionBy("kind").bucketBy(n, "chunk").option("compression", "none").option("path", _place(spark, name)).saveAsTable(name)
     held = spark.table(name)
     words = held.filter("kind = 0").drop("ids").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return assemble(encode_words(words, ranks or default_ranks()), held.filter("kind = 1"), kind)
+    return assemble(encode_words(words, ranks or default_ranks()), held.filter("kind = 1"), kind, also)
 
 
 def new_name() -> str:
@@ -293,26 +299,31 @@ def token_bytes(spark: SparkSession, ranks: str | None = None) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks_of(ranks or default_ranks()).items()], "token long, bytes binary")
 
 
-def decode(encoded: DataFrame, table: DataFrame, ids: str = "ids") -> DataFrame:
-    """Add ``decoded``, the bytes of each row's ids joined with ``table`` (token, bytes); an id that it lacks is an error.
+def decoder(table: DataFrame, ids: str = "ids") -> Also:
+    """Adds ``decoded``, the bytes of each row's ids joined with ``table`` (token, bytes); an id that it lacks is an error.
 
     The table is as large as the vocabulary and no larger, so each executor has it whole.
     """
     rows = {r["token"]: bytes(r["bytes"]) for r in table.collect()}
-    sent = encoded.sparkSession.sparkContext.broadcast(rows)
+    sent = table.sparkSession.sparkContext.broadcast(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         find = sent.value.__getitem__
-        for pdf in batches:
-            yield pdf.assign(decoded=[None if b is None else b"".join(map(find, np.frombuffer(b, "<u4").tolist())) for b in pdf[ids]])
+        return pdf.assign(decoded=[None if b is None else b"".join(map(find, np.frombuffer(b, "<u4").tolist())) for b in pdf[ids]])
+
+    return add, ", decoded binary"
 
+
+def decode(encoded: DataFrame, table: DataFrame, ids: str = "ids") -> DataFrame:
+    """Rows with their bytes, see ``decoder``."""
+    add, more = decoder(table, ids)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInPandas(run, f"{fields}, decoded binary")
+    return encoded.mapInPandas(lambda batches: map(add, batches), f"{fields}{more}")
 
 
 def op12(docs: DataFrame) -> DataFrame:
     spark, name = docs.sparkSession, new_name()
-    both = decode(encode(docs, name=name), token_bytes(spark))
+    both = encode(docs, name=name, also=decoder(token_bytes(spark)))
     n = F.expr("cast(octet_length(ids) div 4 as long)")
     out = cut(both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
     forget(spark, name)
