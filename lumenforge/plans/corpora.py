@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenforge.functions import scalars as sc
+from lumenforge.functions import seeded
 from lumenforge.operators import corpus as co
-from lumenforge.session import table
-from lumenforge.sources import feeds
+from lumenforge.session import removed, scratch, table
+from lumenforge.sources import feeds, feedsource
 
 from .catalog import query
 
@@ -143,6 +144,55 @@ def random_cap(spark: SparkSession, d: str) -> DataFrame:
     return co.capped(manifest(spark, d).select("doc_id"), F.sha2(F.concat(F.lit("cap"), F.col("doc_id").cast("string")), 256), "doc_id", 100)
 
 
+def _duck_bits(seed: str, n: str) -> str:
+    """The n-th 32 bits in the oracle's words: the same definition in wide whole numbers."""
+    m = "4294967296::HUGEINT"
+    t = f"((({seed})::HUGEINT + (({n})::HUGEINT + 1) * {seeded.STEP}) % {m})::BIGINT"
+    r = f"((xor({t}, {t} >> 15)::HUGEINT * ({t} | {seeded.ODD})) % {m})::BIGINT"
+    q = f"xor({r}, (({r}::HUGEINT + xor({r}, {r} >> 7)::HUGEINT * ({r} | {seeded.LATE})) % {m})::BIGINT)"
+    return f"xor({q}, {q} >> 14)"
+
+
+def _duck_walk(x: str, size: str, bits: str, seed: int, order: str) -> str:
+    low, high = f"(1::BIGINT << ({bits} - {bits} // 2)) - 1", f"(1::BIGINT << ({bits} // 2)) - 1"
+    left, right = f"(v >> ({bits} - {bits} // 2))", f"(v & ({low}))"
+    odd = f"(({left} << ({bits} - {bits} // 2)) | xor({right}, {_duck_bits(f'{seed} + 7919 * (k + 1)', left)} & ({low})))"
+    even = f"((xor({left}, {_duck_bits(f'{seed} + 7919 * (k + 1)', right)} & ({high})) << ({bits} - {bits} // 2)) | {right})"
+    turn = f"list_reduce(list_prepend({{v}}, {order}), lambda v, k: CASE WHEN k % 2 = 1 THEN {odd} ELSE {even} END)"
+    again = f"CASE WHEN i = 0 OR w >= {size} THEN {turn.format(v='w')} ELSE w END"
+    return f"list_reduce(list_prepend({x}, range(0, {seeded.TURNS + 1})::BIGINT[]), lambda w, i: {again})"
+
+
+_SIZED = "SELECT vec_id, (max(vec_id) OVER ()) + 1 AS size, greatest(2, length(ltrim(bin(max(vec_id) OVER ()), '0'))) AS bits FROM embeddings WHERE vec_id >= 0"
+
+
+@query("s01_s13_t16_feed_source", """
+WITH e AS (SELECT event_id // 100 AS page, event_id, event_type FROM events),
+run AS (SELECT max(page) AS last FROM (SELECT page, row_number() OVER (ORDER BY page) - 1 AS k FROM (SELECT DISTINCT page FROM e)) WHERE page = k)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY event_id) - 1)::INT AS place, event_id::VARCHAR AS id, event_type AS src, 1 AS attempts FROM e, run WHERE page <= last""")
+def feed_source(spark: SparkSession, d: str) -> DataFrame:
+    """Events land as pages of 100 and are fetched, page by page, by the data source; a scan stops before the first page that is missing."""
+    at = scratch(spark, "feed")
+    e = table(spark, d, "events").select(F.expr("event_id div 100").alias("page"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("src"), "event_id")
+    e.repartition("page").sortWithinPartitions("page", "event_id").drop("event_id").write.partitionBy("page").json(at)
+    spark.dataSource.register(feedsource.FeedSource)
+    rows = spark.read.format("feed").option("path", at).load()
+    out = rows.select("page", "place", "id", "src", "attempts").checkpoint()
+    removed(spark, at)
+    return out
+
+
+@query("f30_o06_seeded_shuffle", f"""
+SELECT vec_id, {_duck_bits('2024', 'vec_id')} AS drawn, place, {_duck_walk('place', 'size', 'bits', 77, '[5, 4, 3, 2, 1, 0]::BIGINT[]')} AS back, place < 100 AS kept
+FROM (SELECT vec_id, size, bits, {_duck_walk('vec_id', 'size', 'bits', 77, '[0, 1, 2, 3, 4, 5]::BIGINT[]')} AS place FROM ({_SIZED}))""")
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """A row's value by its number, its place after a shuffle and back, and a cap of 100 rows without a sort."""
+    rows = table(spark, d, "embeddings").filter("vec_id >= 0").select("vec_id")
+    size = (rows.agg(F.max("vec_id")).first()[0] or 0) + 1
+    out = rows.select("vec_id", seeded.bits32(F.lit(2024), F.col("vec_id")).alias("drawn"), seeded.shuffled_place(F.col("vec_id"), size, 77).alias("place"))
+    return out.select("vec_id", "drawn", "place", seeded.row_at(F.col("place"), size, 77).alias("back"), (F.col("place") < 100).alias("kept"))
+
+
 @query("o07_s10_paged_rows", "SELECT label, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS ids FROM (SELECT DISTINCT doc_id, doc_id % 2 AS label FROM documents, (SELECT greatest(1, (SELECT max(doc_id) + 1 FROM documents) - 100) * k // 4 AS a FROM range(5) o(k)) WHERE doc_id >= a AND doc_id < a + 100) GROUP BY label")
 def paged_rows(spark: SparkSession, d: str) -> DataFrame:
     """A sample of pages of 100 at evenly spaced offsets of the whole table; where pages overlap, rows count once. Landed pages are filtered, not fetched."""
