@@ -215,7 +215,51 @@ def test_copies_are_scored_apart(spark):
     bits = {r.doc_id: r.bits_per_token for r in out}
     copies, others = [bits[i] for i in train[:40]], [bits[i] for i in train[40:]]
     assert max(copies) < 0.5 * min(others)
-    assert all(r.bits_per_byte == pytest.approx(r.total_bits / r.n_bytes) and r.score == pytest.approx(-r.total_bits * math.log10(2)) for r in out)
+    assert all(r.bits_per_byte == pytest.approx(r.total_bits / r.n_bytes) and r.n_bytes > 0 and r.score == pytest.approx(-r.total_bits * math.log10(2)) for r in out)
+
+
+def test_scores_do_not_depend_on_the_split(spark, small, monkeypatch):
+    """One, four and sixteen partitions, small chunks or large: the same score for every row, and for equal texts."""
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    docs = docs.union(docs.filter("doc_id = 3")).union(docs.filter("doc_id % 7 = 0").selectExpr("doc_id + 100000", "text"))
+    held = lambda i: crc(i) % 7 == 2
+    runs = []
+    for n, most in ((1, 1_000_000), (4, 1_000_000), (16, 5_000)):
+        runs.append(sorted((r.doc_id, r.score, r.base_score, r.n_bytes) for r in lmscore.score_text(docs.repartition(n), most_tokens=most).collect()))
+    for other in runs[1:]:
+        assert [r[0] for r in other] == [r[0] for r in runs[0]]
+        assert [r[1] for r in other] == pytest.approx([r[1] for r in runs[0]], rel=1e-9, abs=1e-9)
+    score = dict((r[0], r[1]) for r in runs[0])
+    same = [(i, i + 100000) for i in score if i + 100000 in score and held(i) == held(i + 100000)]
+    assert same and all(score[a] == pytest.approx(score[b], rel=1e-9) for a, b in same)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r[3] == len(text[r[0]].encode()) for r in runs[0])
+
+
+def test_a_documents_weights_move_by_its_own_tokens():
+    """A document costs the same beside others and alone, and less than with weights that stay, if it is unlike the sample."""
+    rng = np.random.default_rng(3)
+    table_ = np.zeros((2, 1 << lmmixer.ROWS, lmmixer.NODES), np.int64)
+    table_[0, 5, :64], table_[1, 9, 128:] = 50, 50
+
+    def tokens(n, symbols):
+        return rng.choice(symbols, n).astype(np.uint8), np.full(n, 8, np.uint8), (np.full(n, 5), np.full(n, 9))
+
+    def args(parts):
+        sym, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        rows, n = tuple(np.concatenate([p[2][k] for p in parts]) for k in range(2)), len(sym)
+        none = (np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(n, bool))
+        return sym, length, rows, np.zeros(n, np.uint8), [none, none], np.zeros(n), np.zeros(n, bool), np.array([len(p[0]) for p in parts])
+
+    def mixer(rate=0.02):
+        return lmmixer.Mixer(lmmixer.as_bits(table_[0].sum(0)[None]), np.stack([lmmixer.as_bits(t) for t in table_]), rate)
+
+    docs = [tokens(900, range(128, 256)), tokens(100, range(64)), tokens(2000, range(64)), tokens(1, range(64))]
+    whole = np.add.reduceat(mixer().cost_apart(*args(docs)), np.cumsum([0, 900, 100, 2000]))
+    for k, d in enumerate(docs):
+        assert mixer().cost_apart(*args([d])).sum() == pytest.approx(whole[k], rel=1e-6)
+    still = np.add.reduceat(mixer(0.0).cost_apart(*args(docs)), np.cumsum([0, 900, 100, 2000]))
+    assert whole[0] < still[0] and whole[2] < still[2] and whole[1] == still[1]
 
 
 def test_lm_beats_base_on_held_out(spark, medium):
