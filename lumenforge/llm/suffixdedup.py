@@ -2,7 +2,8 @@
 
 This replaces external induced suffix sorting: no suffix order and no common-prefix
 values are computed, and there is no recursion and no priority queue. "Sort" below
-means grouping by hash; no attempt at the sorting itself has been measured.
+means grouping by hash. Induced sorting was tried in one process and took 11.5 microseconds
+of CPU a byte of text (README).
 
 Every byte covered by a ``length``-byte string that also starts earlier (in a
 smaller document, or further left) goes. As in induced suffix sorting, only some
