@@ -60,7 +60,11 @@ def arrays(pdf: pd.DataFrame) -> list[np.ndarray | None]:
 
 
 def rasters(files: DataFrame) -> DataFrame:
-    """Rows of Spark's image source as path, width, height, rgb; it keeps blue first, and marks what it can't decode with width -1."""
+    """Rows of Spark's image source as path, width, height, rgb, error; it keeps blue first.
+
+    What it can't decode it marks with width -1: such a row has no raster and says so in ``error``.
+    (Files without a byte are no rows of the source.)
+    """
     fields = {f.name for f in files.schema["image"].dataType.fields}
     if not {"origin", "height", "width", "nChannels", "data"} <= fields:
         raise ValueError("not a table of images")
@@ -69,13 +73,18 @@ def rasters(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for w, h, c, data in zip(pdf["width"], pdf["height"], pdf["n"], pdf["data"]):
+                if w <= 0:
+                    out.append(None)
+                    continue
                 x = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 x = np.repeat(x, 3, axis=2) if c == 1 else x[..., 2::-1]
                 out.append(np.ascontiguousarray(x[..., :3]).tobytes())
-            yield pd.DataFrame({"path": pdf["path"], "width": pdf["width"], "height": pdf["height"], "rgb": out})
+            good = pdf["width"] > 0
+            sides = {c: pdf[c].astype("Int32").where(good, pd.NA) for c in ("width", "height")}
+            yield pd.DataFrame({"path": pdf["path"], **sides, "rgb": pd.Series(out, dtype=object), "error": pd.Series([None if g else "undecodable" for g in good], dtype=object)})
 
     flat = files.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
-    return flat.filter("width > 0").mapInPandas(run, "path string, width int, height int, rgb binary")
+    return flat.mapInPandas(run, "path string, width int, height int, rgb binary, error string")
 
 
 #: Columns of pandas that hold nulls, by Spark's type; any other type stays an object.

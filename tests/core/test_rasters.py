@@ -164,6 +164,16 @@ def test_decoded_files_give_the_same_features(spark, tmp_path):
     assert {(r.label, r.domain, r.extension, r.y) for r in files.collect()} == {("ai", "some-20domain", "png", 1)} or {r.label for r in files.collect()} == {"ai"}
 
 
+def test_files_that_are_no_images_stay_with_an_error(spark, tmp_path):
+    (tmp_path / "good.png").write_bytes(png(noise(40, 36)))
+    (tmp_path / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\nnot an image")
+    rows = heads.rasters(spark.read.format("image").load(str(tmp_path)))
+    got = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, r.rgb is None, r.error) for r in rows.collect()}
+    assert got == {"good.png": (40, 36, False, None), "bad.png": (None, None, True, "undecodable")}
+    scored = {r.path.rsplit("/", 1)[-1]: r.d for r in heads.measured(rows, "path").collect()}
+    assert scored["bad.png"] is None and scored["good.png"] == pytest.approx(raster.stub(noise(40, 36)))
+
+
 def test_second_head_runs_where_the_gate_asks(spark):
     calls = spark.sparkContext.accumulator(0)
 
