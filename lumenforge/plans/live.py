@@ -84,6 +84,29 @@ def result_cache(spark: SparkSession, d: str) -> DataFrame:
     return live.cached_batch(spark.sql(_ASKED, ev=table(spark, d, "events")))
 
 
+_SHARED = "SELECT mod(user_id, 16) AS owner, event_id AS seq, concat('i', cast(mod(event_id * 7919, 997) AS string)) AS item, CASE WHEN mod(event_id, 10) <> 7 THEN mod(event_id * 37, 1000) / 1000e0 END AS confidence FROM {ev} WHERE user_id IS NOT NULL"
+
+
+@query("t06_fifo_limit", f"""
+WITH RECURSIVE ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY seq) AS k FROM ({_SHARED.format(ev='events')})),
+step AS (
+  SELECT owner, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS item, []::VARCHAR[] AS items, []::DOUBLE[] AS held, false AS hit, NULL::DOUBLE AS p FROM (SELECT DISTINCT owner FROM ev)
+  UNION ALL
+  SELECT owner, k, seq, item, CASE WHEN len(items) > 400 THEN items[2:] ELSE items END, CASE WHEN len(items) > 400 THEN held[2:] ELSE held END, hit, p
+  FROM (
+    SELECT owner, e.k, e.seq, e.item, list_contains(items, e.item) AS hit,
+      CASE WHEN list_contains(items, e.item) THEN held[list_position(items, e.item)] ELSE e.confidence END AS p,
+      CASE WHEN list_contains(items, e.item) OR e.confidence IS NULL THEN items ELSE list_append(items, e.item) END AS items,
+      CASE WHEN list_contains(items, e.item) OR e.confidence IS NULL THEN held ELSE list_append(held, e.confidence::DOUBLE) END AS held
+    FROM step JOIN ev e USING (owner) WHERE e.k = step.k + 1
+  )
+)
+SELECT owner, seq, item, hit, coalesce(p, 0.5)::DOUBLE AS confidence, CASE WHEN p IS NULL THEN 'error' WHEN p >= 0.6951 THEN 'ai' WHEN p <= 0.4099 THEN 'real' ELSE 'uncertain' END AS label FROM step WHERE k > 0""")
+def fifo_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Owners with more items than a cache holds; first in, first out."""
+    return live.cached_replay(spark.sql(_SHARED, ev=table(spark, d, "events")))
+
+
 _FIRST = "SELECT cast(event_id AS string) AS id, CASE WHEN mod(event_id, 10) <> 3 THEN mod(event_id * 37, 1000) / 1000e0 END AS confidence FROM {ev}"
 _REFINED = "SELECT cast(event_id AS string) AS id, CASE WHEN mod(event_id, 6) = 0 THEN mod(event_id * 53, 1000) / 1000e0 END AS confidence FROM {ev} WHERE mod(event_id, 3) = 0"
 

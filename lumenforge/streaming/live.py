@@ -90,6 +90,29 @@ def cached_batch(requests: DataFrame, ai: float = 0.6951, real: float = 0.4099)
     return joined.select("owner", "seq", "item", hit.alias("hit"), F.coalesce(p, F.lit(0.5)).alias("confidence"), label.alias("label"))
 
 
+def cached_replay(requests: DataFrame, ai: float = 0.6951, real: float = 0.4099, most: int = CACHE) -> DataFrame:
+    """What ``cached_stream`` does, over a table and with its limit: the oldest result goes when there are more than ``most``, and comes back when it is asked for again.
+
+    Whether a request is answered depends on all before it, so an owner's requests are a
+    sequence; a task streams through them and holds one cache and a batch.
+    """
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = requests.select("owner", "seq", "item", "confidence").repartition(n, "owner").sortWithinPartitions("owner", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, cache = object(), OrderedDict()
+        for pdf in batches:
+            out = []
+            for o, part in pdf.groupby("owner", sort=False, dropna=False):
+                o = None if o != o else o
+                if o != owner:
+                    owner, cache = o, OrderedDict()
+                out += cache_step(cache, list(part.itertuples(index=False, name=None)), ai, real, most)
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return rows.mapInPandas(run, OUT)
+
+
 def pending_stream(events: DataFrame, deadline_ms: int = PENDING_MS) -> DataFrame:
     """events: a stream of id, kind ('request' or 'result'). An id whose result doesn't come within the deadline is 'timed-out', by a processing-time timer."""
 

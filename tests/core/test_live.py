@@ -4,6 +4,8 @@ import time
 from pyspark.sql import functions as F
 
 from lumenforge.operators import corpus as co
+from lumenforge.plans import live as plan
+from lumenforge.session import table
 from lumenforge.sources import sinks
 from lumenforge.streaming import live
 
@@ -44,6 +46,23 @@ def test_cache_batch_and_stream_agree(spark, tmp_path):
     assert sorted(got) == want
 
 
+def test_cache_lets_go_in_a_replay(spark):
+    """Few places and many items, one owner with most of the requests, a null owner; the query meets evictions."""
+    rows = requests(600, 9)
+    for most in (1, 4, 400):
+        got = [tuple(r)[:5] for r in live.cached_replay(spark.createDataFrame(rows, REQUESTS).repartition(3), most=most).collect()]
+        assert sorted(got) == plain_cache(rows, most)
+    nulls = live.cached_replay(spark.createDataFrame([(None, 1, "a", 0.9), (None, 2, "a", 0.1), (None, 3, "b", None)], REQUESTS)).collect()
+    assert [(r.owner, r.hit, r.label) for r in nulls] == [(None, False, "ai"), (None, True, "ai"), (None, False, "error")]
+    assert live.cached_replay(spark.createDataFrame([], REQUESTS)).count() == 0
+
+
+def test_query_evicts(spark, medium):
+    rows = spark.sql(plan._SHARED, ev=table(spark, medium, "events"))
+    free = live.cached_replay(rows, most=10**6).filter("hit").count()
+    assert live.cached_replay(rows).filter("hit").count() < free
+
+
 def test_queue_and_pump(spark, tmp_path):
     rows = [("a", 1, 10.0, False), ("a", 2, 950_000.0, True), ("a", 3, 990_000.0, False), ("b", 1, 500_000.0, False), ("c", 1, 940_000.0, False)]
     jobs = spark.createDataFrame(rows, "id string, seq long, priority double, bypass boolean")
