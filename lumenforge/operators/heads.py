@@ -37,6 +37,17 @@ def _stub() -> Head:
     return lambda images: np.array([raster.stub(x) for x in images])
 
 
+@register("chroma")
+def _chroma() -> Head:
+    """How little colour there is; another head that needs no weights."""
+
+    def one(x: np.ndarray) -> float:
+        top, low = x.max(2).astype(float), x.min(2)
+        return float(1.0 - ((top - low) / np.maximum(top, 1.0)).mean())
+
+    return lambda images: np.array([one(x) for x in images])
+
+
 def models(spark: SparkSession) -> DataFrame:
     """The table of models: what each needs and how its output is read."""
     schema = "model string, size int, resize string, outputs int, ai_index int, least_side int"

@@ -44,11 +44,11 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     return pv.verdict(artifacts(spark, d), containers=False).select("doc_id", "prov", "prov_detail", "prov_stop")
 
 
-@query("p02_window", f"SELECT doc_id, octet_length(encode(t))::INT AS n, least(octet_length(encode(t)), 401)::INT AS shown FROM ({ARTIFACTS.format(docs='documents')})")
+@query("p02_window", f"SELECT doc_id, n, CASE WHEN n > 400 THEN 401 ELSE n END::INT AS shown, sha256(CASE WHEN n > 400 THEN left(h, 400) || '0A' || right(h, 400) ELSE h END) AS digest FROM (SELECT doc_id, octet_length(encode(t))::INT AS n, hex(encode(t)) AS h FROM ({ARTIFACTS.format(docs='documents')}))")
 def window(spark: SparkSession, d: str) -> DataFrame:
-    """Here with 200 bytes a side, so that texts are cut."""
-    rows = artifacts(spark, d)
-    return rows.select("doc_id", F.octet_length("content").alias("n"), F.least(F.length(pv.window_text(F.col("content"), 200)), F.lit(401)).alias("shown")).withColumn("shown", F.when(F.col("n") <= 400, F.col("n")).otherwise(F.col("shown")))
+    """Here with 200 bytes a side, so that texts are cut; the window's characters are held by digest."""
+    rows = artifacts(spark, d).withColumn("w", pv.window_text(F.col("content"), 200))
+    return rows.select("doc_id", F.octet_length("content").alias("n"), F.length("w").alias("shown"), F.sha2(F.hex(F.encode("w", "ISO-8859-1")).cast("binary"), 256).alias("digest"))
 
 
 _T = "encode(coalesce(text, ''))"

@@ -191,12 +191,12 @@ def written_marks(spark: SparkSession, d: str) -> DataFrame:
     return heads.per_raster(images, "image_id", "score double, detail string, stop boolean", raster.visible_mark)
 
 
-@query("m07_both_heads", f"SELECT image_id, round(stub, 5) AS d, round(stub, 5) AS f FROM ({_STUB})")
+@query("m07_both_heads", f"SELECT image_id, round(stub, 5) AS d, round(chroma, 5) AS f FROM ({_STUB}) JOIN ({plan._BASIC}) USING (image_id)")
 def both_heads(spark: SparkSession, d: str) -> DataFrame:
-    """Both heads over every raster, the gate not asked."""
+    """Two different heads over every raster, the gate not asked."""
     first = heads.measured(raster_rows(spark, d), "image_id", keep_rasters=True).select("image_id", "d", "width", "height", "rgb")
-    out = heads.second_head(first, F.lit(True), "stub")
-    return out.select("image_id", F.round(F.round("d", 6), 5).alias("d"), F.round(F.round("f", 6), 5).alias("f"))
+    out = heads.second_head(first, F.lit(True), "chroma")
+    return out.select("image_id", F.round(F.round("d", 6), 5).alias("d"), F.round("f", 5).alias("f"))
 
 
 @query("m09_head_training")
