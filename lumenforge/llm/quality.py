@@ -6,14 +6,15 @@ then fitted by dual coordinate descent, and its margin is put on the scale from
 0 to 1 by a logistic fitted on held-out folds of the sample.
 
 The fit uses a bounded sample of labelled rows (``sample`` documents, balanced by
-class; what reaches the driver is one bitmap of 2^bits bits for each). Everything else
-covers all rows. Null and empty texts get a score like any other (their only
+class, one bitmap of 2^bits bits for each) and runs in one task; the driver gets the
+model alone. Everything else covers all rows. Null and empty texts get a score like any other (their only
 n-grams are the boundary's). With no labelled rows, or one class, the score is
 that class's share (0.5 without any).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_crc
+from .common import giving_back, id_crc
 from .ngrams import chunks, presence
 from .sampling import balanced_sample
 
 ORDERS, BITS, SAMPLE = (1, 2, 3, 4), 16, 4000
 
 
-def bitmaps(rows: DataFrame, id_col: str, text_col: str, label: str, orders: tuple[int, ...], bits: int) -> tuple[list, np.ndarray]:
-    """Labels and presence bitmaps of a bounded sample, ordered by id."""
+def bitmaps(rows: DataFrame, text_col: str, label: str, orders: tuple[int, ...], bits: int) -> DataFrame:
+    """y, x: labels and packed presence bitmaps of a sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,12 +39,23 @@ def bitmaps(rows: DataFrame, id_col: str, text_col: str, label: str, orders: tup
                 yield pd.DataFrame({"y": pdf["y"].iloc[at : at + len(docs)].to_numpy(), "x": [r.tobytes() for r in x]})
 
     src = rows.select(F.col(label).alias("y"), F.col(text_col).alias("t"))
-    got = src.mapInPandas(run, f"y {src.schema['y'].dataType.simpleString()}, x binary").collect()
-    got.sort(key=lambda r: (str(r["y"]), r["x"]))
-    x = np.zeros((len(got), (1 << bits) // 8), np.uint8)
-    for row, r in zip(x, got):
-        row[:] = np.frombuffer(r["x"], np.uint8)
-    return [r["y"] for r in got], x
+    return src.mapInPandas(run, f"y {src.schema['y'].dataType.simpleString()}, x binary")
+
+
+def fitted(sample: DataFrame, bits: int, share: float) -> dict:
+    """The model of a bounded sample's bitmaps, fitted in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(((str(y), y, x) for pdf in batches for y, x in zip(pdf["y"].tolist(), pdf["x"].tolist())), key=lambda r: (r[0], r[2]))
+        x = np.zeros((len(got), (1 << bits) // 8), np.uint8)
+        for row, r in zip(x, got):
+            row[:] = np.frombuffer(r[2], np.uint8)
+        labels = [r[1] for r in got]
+        del got
+        yield pd.DataFrame({"model": [pickle.dumps(fit(labels, x, share))]})
+
+    made = sample.repartition(1).mapInPandas(giving_back(run), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else {"weight": None, "constant": 0.5}
 
 
 def log_count_ratio(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -148,9 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, orders: tupl
     chosen = balanced_sample(known, "doc_id", "y", sample)
     # at most 2 * sample ids, so the broadcast is bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * sample)
-    model = fit(*bitmaps(rows, "doc_id", "text", "y", orders, bits), share=float(share))
-    give_back()
-    return model
+    return fitted(bitmaps(rows, "text", "y", orders, bits), bits, float(share))
 
 
 def classify(docs: DataFrame, model: dict, threshold: float = 0.3, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
