@@ -262,6 +262,38 @@ def test_a_documents_weights_move_by_its_own_tokens():
     assert whole[0] < still[0] and whole[2] < still[2] and whole[1] == still[1]
 
 
+def test_weights_come_from_all_training_tokens():
+    """Sums of parts are those of the whole; the step brings the slopes of all tokens near zero, wherever it began."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    symbol, length = rng.choice(range(40, 200), n).astype(np.uint8), np.full(n, 8, np.uint8)
+    table_ = np.zeros((2, 1 << lmmixer.ROWS, lmmixer.NODES), np.int64)
+    rows = (rng.integers(0, 4, n), rng.integers(0, 4, n))
+    for k in range(2):
+        np.add.at(table_[k], (rows[k], symbol), 1)
+    strength = rng.integers(0, 4, n).astype(np.uint8)
+    said = [(strength, rng.integers(0, 9, n).astype(np.uint8), rng.random(n) < 0.5) for _ in range(2)]
+    shared = np.ones(n, bool)
+
+    def gathered(mixer, *parts):
+        sums = lmmixer.no_sums()
+        for a, b in parts:
+            cut = lambda x: x[a:b]  # noqa: B023, E731
+            mixer.gather(sums, cut(symbol), cut(length), tuple(map(cut, rows)), [tuple(map(cut, one)) for one in said], cut(shared))
+        return sums
+
+    for start in (0.3, 0.25):
+        m = lmmixer.Mixer(lmmixer.as_bits(table_[0].sum(0)[None]), np.stack([lmmixer.as_bits(t) for t in table_]))
+        m.weight[:, :-1] = start
+        one, two = gathered(m, (0, n)), gathered(m, (0, 7), (7, 9000), (9000, n))
+        assert all(np.allclose(one[name], two[name], rtol=1e-9, atol=1e-6) for name in one)
+        assert one["seen"].sum() == 8 * n and one["held"].sum() == 16 * n
+        before = np.abs(one["slope"]).sum()
+        m.settle(one)
+        m.held = np.ones_like(m.held)  # as it was when the slopes were taken
+        assert np.abs(gathered(m, (0, n))["slope"]).sum() < before / 5
+
+
 def test_lm_beats_base_on_held_out(spark, medium):
     out = lmscore.op1(table(spark, medium, "documents")).filter("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert out.s > out.b
