@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.operators import pixels as px
-from lumenforge.session import table
+from lumenforge.session import dealt, table
 
 from .catalog import query
 
@@ -36,9 +36,10 @@ PIXELS = "SELECT s_suppkey AS image_id, x, y, " + ", ".join(f"{_channel(c)} AS {
 DUCK = PIXELS + f" FROM supplier, (SELECT unnest(range({N}))::INT AS x) xs, (SELECT unnest(range({N}))::INT AS y) ys"
 
 
-def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Narrow: each supplier makes its own pixels."""
-    grid = table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("s_suppkey", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
+def pixels(spark: SparkSession, d: str, distinct: bool = False) -> DataFrame:
+    """Each supplier makes its own pixels in the task that it is dealt to; they are never shuffled."""
+    keys = dealt(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    grid = (keys.distinct() if distinct else keys).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("s_suppkey", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
     return spark.sql(PIXELS + " FROM {grid}", grid=grid)
 
 

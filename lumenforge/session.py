@@ -30,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df, key: str, rows: int = 256):
+    """Rows that each make thousands, dealt by key over tasks of about ``rows`` of them, however few files they come from.
+
+    What is made of them and grouped by the key needs no other shuffle, and a task's groups don't grow with the table.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that all executors see: the session's checkpoint folder, or else one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
