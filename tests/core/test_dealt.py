@@ -7,6 +7,7 @@ from lumenforge.session import dealt
 
 QUERIES = [
     "r07_x27_x33_mark_tensor",
+    "r08_sharper_half",
 ]
 
 
