@@ -8,6 +8,7 @@ from lumenforge.session import dealt
 QUERIES = [
     "r07_x27_x33_mark_tensor",
     "r08_sharper_half",
+    "x10_x11_a17_o03_palette",
 ]
 
 
