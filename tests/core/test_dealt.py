@@ -9,6 +9,7 @@ QUERIES = [
     "r07_x27_x33_mark_tensor",
     "r08_sharper_half",
     "x10_x11_a17_o03_palette",
+    "x13_x14_spectral_score",
 ]
 
 
