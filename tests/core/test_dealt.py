@@ -10,6 +10,7 @@ QUERIES = [
     "r08_sharper_half",
     "x10_x11_a17_o03_palette",
     "x13_x14_spectral_score",
+    "r03_r04_box_downsample",
 ]
 
 
