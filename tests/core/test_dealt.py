@@ -11,6 +11,7 @@ QUERIES = [
     "x10_x11_a17_o03_palette",
     "x13_x14_spectral_score",
     "r03_r04_box_downsample",
+    "r02_short_side_crop",
 ]
 
 
