@@ -12,6 +12,7 @@ QUERIES = [
     "x13_x14_spectral_score",
     "r03_r04_box_downsample",
     "r02_short_side_crop",
+    "r04_m04_x01_x15_arrow_features",
 ]
 
 
