@@ -13,6 +13,7 @@ QUERIES = [
     "r03_r04_box_downsample",
     "r02_short_side_crop",
     "r04_m04_x01_x15_arrow_features",
+    "g05_m05_pipeline",
 ]
 
 
