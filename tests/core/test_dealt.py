@@ -14,6 +14,7 @@ QUERIES = [
     "r02_short_side_crop",
     "r04_m04_x01_x15_arrow_features",
     "g05_m05_pipeline",
+    "x16_x20_w04_text_bands",
 ]
 
 
