@@ -15,6 +15,7 @@ QUERIES = [
     "r04_m04_x01_x15_arrow_features",
     "g05_m05_pipeline",
     "x16_x20_w04_text_bands",
+    "m07_both_heads",
 ]
 
 
