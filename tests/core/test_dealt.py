@@ -16,6 +16,7 @@ QUERIES = [
     "g05_m05_pipeline",
     "x16_x20_w04_text_bands",
     "m07_both_heads",
+    "x21_x22_x26_visible_mark",
 ]
 
 
