@@ -17,6 +17,7 @@ QUERIES = [
     "x16_x20_w04_text_bands",
     "m07_both_heads",
     "x21_x22_x26_visible_mark",
+    "r01_r05_tensors",
 ]
 
 
