@@ -18,6 +18,7 @@ QUERIES = [
     "m07_both_heads",
     "x21_x22_x26_visible_mark",
     "r01_r05_tensors",
+    "x12_window_buttons",
 ]
 
 
