@@ -19,6 +19,7 @@ QUERIES = [
     "x21_x22_x26_visible_mark",
     "r01_r05_tensors",
     "x12_window_buttons",
+    "x01_x02_x05_x09_basic",
 ]
 
 
