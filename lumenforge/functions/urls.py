@@ -32,9 +32,9 @@ def parse_srcset(x: Column) -> Column:
 
 
 def pick_best(candidates: Column) -> Column:
-    """The address with the highest score, the first among equals; null if there is none."""
-    top = F.array_max(F.transform(candidates, lambda c: c["score"]))
-    return F.get(F.filter(candidates, lambda c: c["score"] == top), F.lit(0))["url"]
+    """The address with the highest score, the first among equals; null if there is none. One walk over the candidates, which are computed once."""
+    better = lambda best, c: F.when(best["score"].isNull() | (c["score"] > best["score"]), c).otherwise(best)
+    return F.aggregate(candidates, F.lit(None).cast("struct<url:string,score:double>"), better)["url"]
 
 
 def decode_escapes(x: Column) -> Column:
@@ -98,4 +98,5 @@ def resolve(mode: str, attr_url: Column, linked: Column, srcset: Column, current
     parts = [one(attr_url, F.lit(ATTR_SCORE)), one(linked, F.lit(LINK_SCORE))] if mode == "full" else []
     parts += [F.coalesce(parse_srcset(srcset), F.array().cast(CANDIDATES)), one(current, natural)]
     best = F.coalesce(pick_best(F.concat(*parts)), current)
-    return upgraded(best) if mode == "full" else best
+    # bound as an element, since every use of a column in an expression computes it anew
+    return F.get(F.transform(F.array(best), upgraded), F.lit(0)) if mode == "full" else best

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.functions import urls
-from lumenforge.session import table
+from lumenforge.session import dealt, table
 
 from .catalog import query
 
@@ -64,4 +64,4 @@ def resolve_url(spark: SparkSession, d: str) -> DataFrame:
     attr = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://full/"), F.col("p_partkey").cast("string")))
     linked = F.when(F.col("p_partkey") % 3 == 1, F.lit("https://pbs.twimg.com/media/q?name=small"))
     both = {m: urls.resolve(mode, attr, linked, F.expr(_SRCSET), current, F.lit(100)) for m, mode in (("fast", "fast"), ("full_", "full"))}
-    return table(spark, d, "part").select("p_partkey", *[c.alias(m) for m, c in both.items()])
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey", 1 << 15).select("p_partkey", *[c.alias(m) for m, c in both.items()])

@@ -2,8 +2,10 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lumenforge.functions import urls
 from lumenforge.plans import signals
 from lumenforge.session import dealt
 
@@ -39,6 +41,13 @@ def test_pixels_are_not_shuffled(spark, small, name):
     assert found and all("(s_suppkey" in line and "REPARTITION_BY_NUM" in line for line in found)
 
 
+def test_best_address_computes_candidates_once(spark):
+    rows = spark.createDataFrame([("a 1x, b 2x, c 800w",), ("d 0w",), ("",), (None,)], "x string")
+    best = rows.select(urls.pick_best(urls.parse_srcset(F.col("x"))).alias("best"))
+    assert [r.best for r in best.collect()] == ["b", None, None, None]
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_written_rasters_leave_in_small_batches():
     parts = list(signals.drawn(iter([pd.DataFrame({"image_id": range(1000)})])))
     assert max(map(len, parts)) <= 64 and [k for p in parts for k in p["image_id"]] == list(range(1000))
