@@ -9,14 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rules import settled
 
-HEAD, TAIL, XMP_LEAST = 512_000, 16_000, 8_000
+HEAD, TAIL, XMP_LEAST, WALKED = 512_000, 16_000, 8_000, 1 << 22
 
 # Patterns in order of priority; the text of a pattern is part of the verdict.
 SOFT_BINDING = [
@@ -107,18 +107,33 @@ def jpeg_parts(b: bytes) -> list[bytes]:
     return [*out, b[-TAIL:]]
 
 
-@F.pandas_udf(T.BinaryType())
-def container_parts(content: pd.Series) -> pd.Series:
-    """Metadata of PNG and JPEG containers, whose strides depend on the data; null for others."""
+def parts(b: bytes | None) -> bytes | None:
+    if b is None:
+        return None
+    if b[:4] == b"\x89PNG" and len(b) >= 8:
+        return b"\n".join(png_parts(b))
+    return b"\n".join(jpeg_parts(b)) if b[:2] == b"\xff\xd8" else None
+
 
-    def parts(b: bytes | None) -> bytes | None:
-        if b is None:
-            return None
-        if b[:4] == b"\x89PNG" and len(b) >= 8:
-            return b"\n".join(png_parts(b))
-        return b"\n".join(jpeg_parts(b)) if b[:2] == b"\xff\xd8" else None
+def walked(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Containers one by one; what they give leaves when it has ``WALKED`` bytes, however large a batch is."""
+    for batch in contents:
+        out, held = [], 0
+        for value in batch:
+            out.append(parts(value.as_py()))
+            held += len(out[-1] or b"")
+            if held >= WALKED:
+                yield pa.array(out, pa.binary())
+                out, held = [], 0
+        if out:
+            yield pa.array(out, pa.binary())
+    pa.default_memory_pool().release_unused()
 
-    return content.map(parts)
+
+@F.arrow_udf(T.BinaryType())
+def container_parts(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Metadata of PNG and JPEG containers, whose strides depend on the data; null for others."""
+    return walked(contents)
 
 
 def meta_text(content: Column, container: Column | None = None) -> Column:

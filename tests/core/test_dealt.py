@@ -1,11 +1,13 @@
 """Pixels stay in the task that their supplier is dealt to, and tasks hold few suppliers however large the table is."""
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumenforge.functions import urls
+from lumenforge.operators import provenance
 from lumenforge.plans import signals
 from lumenforge.session import dealt
 
@@ -51,3 +53,14 @@ def test_best_address_computes_candidates_once(spark):
 def test_written_rasters_leave_in_small_batches():
     parts = list(signals.drawn(iter([pd.DataFrame({"image_id": range(1000)})])))
     assert max(map(len, parts)) <= 64 and [k for p in parts for k in p["image_id"]] == list(range(1000))
+
+
+def test_containers_leave_in_small_batches(spark, monkeypatch):
+    png = b"\x89PNG\r\n\x1a\n" + (2000).to_bytes(4, "big") + b"tEXt" + b"a" * 2000 + b"0000"
+    some = [png, None, b"", b"\xff\xd8\xff\xe1\0\x04ab\xff\xda", b"plain", png] * 50
+    monkeypatch.setattr(provenance, "WALKED", 10_000)
+    got = list(provenance.walked(iter([pa.array(some, pa.binary()), pa.array([], pa.binary())])))
+    assert max(p.nbytes for p in got) < 20_000 and [v for p in got for v in p.to_pylist()] == [provenance.parts(b) for b in some]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(some)], "k int, b binary").coalesce(1)
+    found = {r.k: r.p if r.p is None else bytes(r.p) for r in rows.select("k", provenance.container_parts("b").alias("p")).collect()}
+    assert [found[k] for k in range(len(some))] == [provenance.parts(b) for b in some]
