@@ -171,12 +171,12 @@ WITH e AS (SELECT event_id // 100 AS page, event_id, event_type FROM events),
 run AS (SELECT max(page) AS last FROM (SELECT page, row_number() OVER (ORDER BY page) - 1 AS k FROM (SELECT DISTINCT page FROM e)) WHERE page = k)
 SELECT page, (row_number() OVER (PARTITION BY page ORDER BY event_id) - 1)::INT AS place, event_id::VARCHAR AS id, event_type AS src, 1 AS attempts FROM e, run WHERE page <= last""")
 def feed_source(spark: SparkSession, d: str) -> DataFrame:
-    """Events land as pages of 100 and are fetched, page by page, by the data source; a scan stops before the first page that is missing."""
+    """Events land as pages of 100, many pages to a file, and are fetched, page by page, by the data source; a scan stops before the first page that is missing."""
     at = scratch(spark, "feed")
     e = table(spark, d, "events").select(F.expr("event_id div 100").alias("page"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("src"), "event_id")
-    e.repartition("page").sortWithinPartitions("page", "event_id").drop("event_id").write.partitionBy("page").json(at)
+    feedsource.land_bundles(e, at, "event_id")
     spark.dataSource.register(feedsource.FeedSource)
-    rows = spark.read.format("feed").option("path", at).load()
+    rows = spark.read.format("feed").options(path=at, transport="lumenforge.sources.feedsource:Bundled", pagesPerPartition=2 * feedsource.BUNDLE).load()
     out = rows.select("page", "place", "id", "src", "attempts").checkpoint()
     removed(spark, at)
     return out

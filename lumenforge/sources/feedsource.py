@@ -17,7 +17,8 @@ again. When attempts run out the task fails, with Spark's own retries behind it;
 
 How a page is fetched is a ``Transport``, chosen by its class's place (``transport``:
 ``module:Class``). The one that comes with the library reads landed pages from any store
-that pyarrow knows: a file ``<n>.json``, or a folder ``page=<n>`` with what Spark's writers left.
+that pyarrow knows: a file ``<n>.json``, or a folder ``page=<n>`` with what Spark's writers left. ``Bundled``
+reads pages that ``land_bundles`` wrote, many to a folder.
 
 A page's images are in ``images`` (id, src), prompts in ``prompts`` (id, prompt), as JSON; lines
 of a landed folder are images of their own. Images without an id are kept with a null id; a
@@ -34,10 +35,12 @@ import time
 from collections.abc import Iterator
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values.
-ATTEMPTS, BUSY_WAIT, ERROR_WAIT = 4, 0.8, 0.5
+ATTEMPTS, BUSY_WAIT, ERROR_WAIT, BUNDLE = 4, 0.8, 0.5, 64
 SCHEMA = "page long, place int, id string, src string, prompt string, attempts int, error string"
 _PAGE = re.compile(r"(?:page=)?(\d+)(?:\.json)?$")
 
@@ -89,8 +92,16 @@ class Landed(Transport):
         with self.store.open_input_stream(path) as f:
             return f.read()
 
+    def _held(self, page: int) -> fs.FileInfo | None:
+        """Asked for by its usual names first: a task doesn't list the folder."""
+        if self.names is None:
+            for f in self.store.get_file_info([f"{self.root}/{page}.json", f"{self.root}/page={page}"]):
+                if f.type != fs.FileType.NotFound:
+                    return f
+        return self._found().get(page)
+
     def fetch(self, page: int) -> bytes:
-        held = self._found().get(page)
+        held = self._held(page)
         if held is None:
             raise Answer(404)
         if held.type == fs.FileType.File:
@@ -100,6 +111,47 @@ class Landed(Transport):
         return json.dumps({"images": images}).encode()
 
 
+class Bundled(Landed):
+    """Pages that lie ``bundle`` to a folder, as ``land_bundles`` leaves them: a file for each bundle, not for each page. A task holds one bundle."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.size = int(options.get("bundle", BUNDLE))
+        self.open: tuple[int, dict[int, list]] = (-1, {})
+
+    def _lines(self, folder: str) -> Iterator[dict]:
+        held = self.store.get_file_info(fs.FileSelector(f"{self.root}/{folder}", allow_not_found=True))
+        for p in sorted(f.path for f in held if f.base_name.startswith("part-")):
+            yield from (json.loads(line) for line in self._bytes(p).splitlines() if line.strip())
+
+    def pages(self) -> int:
+        runs = {r["bundle"]: r["run"] for r in self._lines("runs")}
+        k = 0
+        while runs.get(k) == self.size:
+            k += 1
+        return k * self.size + runs.get(k, 0)
+
+    def fetch(self, page: int) -> bytes:
+        k = page // self.size
+        if self.open[0] != k:
+            self.open = k, {r["page"]: r["images"] for r in self._lines(f"pages/bundle={k}")}
+        if page not in self.open[1]:
+            raise Answer(404)
+        return json.dumps({"images": self.open[1][page]}).encode()
+
+
+def land_bundles(rows: DataFrame, at: str, order: str, bundle: int = BUNDLE) -> None:
+    """Land images (page, the column to order them by within their page, and the image's own) as lines of a page each, ``bundle`` pages to a folder, for ``Bundled``; beside them how many pages each bundle has without a gap. Rows of no page don't land."""
+    fields = [c for c in rows.columns if c not in ("page", order)]
+    held = rows.filter("page >= 0").withColumn("bundle", F.expr(f"page div {bundle}"))
+    images = F.transform(F.sort_array(F.collect_list(F.struct(order, *fields))), lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+    lines = held.repartition("bundle").groupBy("bundle", "page").agg(images.alias("images"))
+    lines.sortWithinPartitions("bundle", "page").write.partitionBy("bundle").json(f"{at}/pages")
+    there = F.collect_set(F.expr(f"cast(page % {bundle} as int)"))
+    runs = held.groupBy("bundle").agg(F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(bundle)), there)).alias("run"))
+    runs.coalesce(1).write.json(f"{at}/runs")
+
+
 def transport(options: dict[str, str]) -> Transport:
     place = options.get("transport")
     if not place:

@@ -123,6 +123,30 @@ def test_stream_goes_on_from_its_offsets(spark, feed):
     assert again[0] == again[1] and [r[2] for r in again[0]] == ["i2", "i3", "i4", "i5"]
 
 
+def test_a_page_is_fetched_without_listing_the_folder(feed):
+    land(feed / "in", {n: [f"i{n}"] for n in range(4)})
+    (feed / "in" / "page=4").mkdir()
+    (feed / "in" / "page=4" / "part-0.json").write_text('{"id": "i4"}\n')
+    (feed / "in" / "005.json").write_text('{"images": [{"id": "i5"}]}')
+    source = fsrc.Landed({"path": str(feed / "in")})
+    assert [json.loads(source.fetch(n))["images"][0]["id"] for n in (2, 4)] == ["i2", "i4"] and source.names is None
+    assert json.loads(source.fetch(5))["images"] == [{"id": "i5"}] and source.pages() == 6
+
+
+def test_bundles_hold_many_pages_and_end_at_the_gap(spark, feed):
+    ids = [i for i in range(0, 60) if i // 5 != 9]
+    rows = spark.createDataFrame([*[(i // 5, i, f"i{i}", None if i % 7 == 0 else "s") for i in reversed(ids)], (None, 99, "n", "n"), (-1, 98, "m", "m")], "page long, at long, id string, src string")
+    fsrc.land_bundles(rows, str(feed / "in"), "at", 4)
+    assert len(list((feed / "in" / "pages").rglob("part-*.json"))) == 3  # eleven pages
+    options = {"path": str(feed / "in"), "transport": "lumenforge.sources.feedsource:Bundled", "bundle": "4"}
+    got = spark.read.format("feed").options(**options, pagesPerPartition=3).load().collect()
+    assert sorted((r.page, r.place, r.id, r.src) for r in got if r.src) + sorted((r.page, r.place, r.id) for r in got if not r.src) == [(i // 5, i % 5, f"i{i}", "s") for i in range(45) if i % 7] + [(i // 5, i % 5, f"i{i}") for i in range(45) if i % 7 == 0]
+    with pytest.raises(fsrc.Answer, match="404"):
+        fsrc.transport(options).fetch(9)
+    fsrc.land_bundles(rows.limit(0), str(feed / "none"), "at", 4)
+    assert fsrc.transport(options | {"path": str(feed / "none")}).pages() == 0
+
+
 # --- seeded values --------------------------------------------------------------------------
 
 
