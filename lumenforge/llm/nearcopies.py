@@ -1,6 +1,10 @@
-"""Near copies by word shingles: a byte-position index proposes pairs, exact similarity decides.
+"""Near copies by word shingles: byte-position indexes propose pairs, exact similarity decides.
 
-A text is the set of its five-word shingles' XXH64 values (a shorter text has one
+SimHash comes first, as in ``simhash``: texts of equal fingerprints, and fingerprints that the byte-position
+index links within 3 bits, are verified by the exact similarity of their sets. Those that are linked to one
+text aren't compared with each other again.
+
+At similarity 0.8 about 15 % of SimHash bits differ, so a second index finds the rest. A text is the set of its five-word shingles' XXH64 values (a shorter text has one
 shingle, all its words). Its fingerprint has 64 bytes: byte p is the last byte of
 the least value under the p-th of 64 mixings, so two texts agree in a byte with
 the probability of their Jaccard similarity. (Signs of summed bits, as in
@@ -31,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from . import simhash
+from .common import cut, fresh_dir, giving_back, let_go, partitions, remove_dir
 from .components import components
 
 WIDTH, SIMILAR, BYTES, ROWS, NEED = 5, 0.8, 64, 4, 38
@@ -67,30 +72,43 @@ def least(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """node, text to node, fp (64 bytes), keys, m (number of shingles). Narrow."""
+    """node, text to node, sim (SimHash), fp (64 bytes), keys, m (number of shingles). Narrow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps, keys, sizes = [], [], []
+            sims = np.array([simhash.fingerprint(t) for t in pdf["text"].tolist()], np.uint64).view(np.int64)
             for t in pdf["text"].tolist():
                 values = shingles(t)
                 m = least(values)
                 sizes.append(len(values))
                 fps.append((m & np.uint64(255)).astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh64_intdigest(m[a : a + ROWS].tobytes(), a) - (1 << 63) for a in range(0, BYTES, ROWS)])
-            yield pd.DataFrame({"node": pdf["node"], "fp": fps, "keys": keys, "m": sizes})
+            yield pd.DataFrame({"node": pdf["node"], "sim": sims, "fp": fps, "keys": keys, "m": sizes})
+
+    return texts.mapInPandas(giving_back(run), "node binary, sim long, fp binary, keys array<long>, m long")
+
 
-    return texts.mapInPandas(run, "node binary, fp binary, keys array<long>, m long")
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes that SimHash proposes; marked: node, sim. Of equal fingerprints each text with the least one, of fingerprints that the index links the least texts."""
+    first = marked.groupBy("sim").agg(F.min("node").alias("rep"))
+    same = marked.join(first, "sim").filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    linked = simhash.links(first.select(F.col("sim").alias("fp")))
+    of = lambda c: first.select(F.col("sim").alias(c), F.col("rep").alias(f"{c}_rep"))
+    two = linked.join(of("u"), "u").join(of("v"), "v").select(F.greatest("u_rep", "v_rep").alias("u"), F.least("u_rep", "v_rep").alias("v"))
+    return same.union(two)
 
 
-def alike(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one key's fingerprints uint8[n, BYTES] by place: all of up to ``DIRECT`` texts; of more, the ``BEST`` of each within windows of ``BLOCK``."""
+def alike(fp: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one key's fingerprints uint8[n, BYTES] by place: all of up to ``DIRECT`` texts; of more, the ``BEST`` of each within windows of ``BLOCK``. Texts of one label are linked already and give none."""
     n, left, right = len(fp), [], []
     for a in range(0, n, BLOCK // 2):
         part = fp[a : a + BLOCK]
         for i in range(1, len(part)):
             same = (part[:i] == part[i]).sum(1)
             hit = np.flatnonzero(same >= NEED)
+            if label is not None:
+                hit = hit[label[a + hit] != label[a + i]]
             if n > DIRECT and len(hit) > BEST:
                 hit = hit[np.argsort(-same[hit], kind="stable")[:BEST]]
             left.append(np.full(len(hit), a + i))
@@ -167,7 +185,7 @@ def grouped(rows: DataFrame, key: str, pairs: Callable[[Group], dict[str, list]]
             close(out, open_)
         yield pd.DataFrame(out)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(giving_back(run), schema)
 
 
 def _bytes(column: np.ndarray) -> np.ndarray:
@@ -180,11 +198,12 @@ def _pairs(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[str, list[by
 
 
 def candidates(held: DataFrame) -> DataFrame:
-    """u, v: pairs of nodes that the index proposes; held: node, fp, k."""
+    """u, v: pairs of nodes that the index proposes; held: node, fp, k, label (texts of one label are linked already)."""
     rows = held.repartition(partitions(held.sparkSession), "k").sortWithinPartitions("k", "fp", "node")
 
     def pairs(group: Group) -> dict[str, list]:
-        return _pairs(group["node"], *alike(_bytes(group["fp"])))
+        label = pd.factorize(np.array([bytes(x) for x in group["label"]], dtype=object))[0]
+        return _pairs(group["node"], *alike(_bytes(group["fp"]), label))
 
     return grouped(rows, "k", pairs, "u binary, v binary").distinct()
 
@@ -233,25 +252,36 @@ def shingle_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["node"], "s": [shingles(t).view(np.int64) for t in pdf["text"].tolist()]})
 
-    return texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(run, "node binary, s array<long>")
+    return texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(giving_back(run), "node binary, s array<long>")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose sets of shingles are that similar, exactly."""
-    sets = cut(shingle_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+    """The pairs whose sets of shingles are that similar, exactly. The sets lie on disk only until the pairs are verified."""
+    spark = texts.sparkSession
+    at, pairs = fresh_dir(spark, "sets"), cut(pairs)
+    shingle_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()).write.parquet(at)
+    let_go(spark)
+    sets = spark.read.schema("node binary, s array<long>").parquet(at)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= F.lit(similar) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    links = cut(both.filter(common >= F.lit(similar) * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    remove_dir(spark, at)
+    del both, sets
+    let_go(spark)
+    return links
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """node, root for every distinct text that is linked with another, by chains of similarity of at least ``similar``."""
     texts = docs.select(node().alias("node"), "text").filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    marked = fingerprints(texts).dropDuplicates(["node"])
-    held = cut(marked.select("node", "fp", "keys", "m", F.posexplode("keys").alias("band", "k")))
-    sure = cut(verified(texts, candidates(held.select("node", "fp", "k")), similar))
+    marked = cut(fingerprints(texts).dropDuplicates(["node"]))
+    first = verified(texts, simhash_pairs(marked.select("node", "sim")), similar)
+    label = first.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    named = marked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = cut(named.select("node", "fp", "keys", "m", "label", F.posexplode("keys").alias("band", "k")))
+    sure = verified(texts, candidates(held.select("node", "fp", "k", "label")), similar).union(first)
     roots = components(sure)
     # texts under keys in which not all were listed: what is not linked yet is compared
     large = held.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > DIRECT).drop("n")
-    more = cut(remaining(held.join(large, "k", "left_semi"), roots, texts, similar))
+    more = cut(remaining(held.drop("label").join(large, "k", "left_semi"), roots, texts, similar))
     return roots if more.isEmpty() else components(sure.union(more))

@@ -39,7 +39,7 @@ def bitmaps(rows: DataFrame, text_col: str, label: str, orders: tuple[int, ...],
                 yield pd.DataFrame({"y": pdf["y"].iloc[at : at + len(docs)].to_numpy(), "x": [r.tobytes() for r in x]})
 
     src = rows.select(F.col(label).alias("y"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, f"y {src.schema['y'].dataType.simpleString()}, x binary")
+    return src.mapInPandas(giving_back(run), f"y {src.schema['y'].dataType.simpleString()}, x binary")
 
 
 def fitted(sample: DataFrame, bits: int, share: float) -> dict:
@@ -174,7 +174,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.3, orders: tuple
             s = np.concatenate([score(d, sc.value, orders, bits) for _, d in chunks(pdf["text"].tolist())]) if len(pdf) else np.zeros(0)
             yield pdf[names].assign(quality_score=s, quality_pred=(s >= threshold).astype("int32"))
 
-    return docs.mapInPandas(run, f"{fields}, quality_score double, quality_pred int")
+    return docs.mapInPandas(giving_back(run), f"{fields}, quality_score double, quality_pred int")
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

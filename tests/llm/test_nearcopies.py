@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumenforge.llm import nearcopies
+from lumenforge.llm import nearcopies, simhash
 
 
 def plain(t):
@@ -151,3 +151,26 @@ def test_links_in_a_key_of_many_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(4), "").collect())
     assert pairs >= 300 and got == sorted(set(want))
+
+
+def test_simhash_proposes_and_its_links_are_not_proposed_again(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    near, far = " ".join([*base, "tail"]), " ".join(f"v{rng.randrange(3000)}" for _ in range(600))
+    assert 0 < (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(near)).bit_count() <= 3
+    again = " ".join(base) + "  "  # other bytes, the same words
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([" ".join(base), near, again, far])], "doc_id long, text string")
+    texts = docs.select(nearcopies.node().alias("node"), "text")
+    node = {r.text: bytes(r.node) for r in texts.collect()}
+    seen, propose = [], nearcopies.candidates
+
+    def only_simhash(held):
+        seen.append({frozenset((bytes(r.u), bytes(r.v))) for r in propose(held).collect()})
+        return propose(held).limit(0)
+
+    monkeypatch.setattr(nearcopies, "candidates", only_simhash)
+    root = {bytes(r.node): bytes(r.root) for r in nearcopies.near_copies(docs).collect()}
+    alike = [node[" ".join(base)], node[near], node[again]]
+    assert {root.get(n) for n in alike} == {min(alike)} and node[far] not in root
+    # links found by then and not to one text are all that the second index has left
+    assert len(seen[0]) < 3
