@@ -450,3 +450,9 @@ def test_labels_with_clashing_columns(spark):
     clash = spark.createDataFrame([(i, q, "t", "x", 0.5, 7, True) for i, q in labels], "doc_id long, quality int, text string, y string, _key double, share int, held_out boolean")
     got = [sorted(map(tuple, quality.op10(docs, t).collect())) for t in (plain, clash)]
     assert got[0] == got[1]
+
+
+def test_passes_over_coded_chunks_shuffle_nothing(spark):
+    out = lmscore.score_text(cases.frame(spark, 1), spell_bits=12, most_words=50, bucket_bytes=1000)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == len(cases.rows(1)) and not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
