@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +37,44 @@ PIXELS = "SELECT s_suppkey AS image_id, x, y, " + ", ".join(f"{_channel(c)} AS {
 DUCK = PIXELS + f" FROM supplier, (SELECT unnest(range({N}))::INT AS x) xs, (SELECT unnest(range({N}))::INT AS y) ys"
 
 
-def pixels(spark: SparkSession, d: str, distinct: bool = False) -> DataFrame:
+def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier makes its own pixels in the task that it is dealt to; they are never shuffled."""
     keys = dealt(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
-    grid = (keys.distinct() if distinct else keys).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("s_suppkey", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
+    grid = keys.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("s_suppkey", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
     return spark.sql(PIXELS + " FROM {grid}", grid=grid)
 
 
+def _grids() -> tuple[np.ndarray, ...]:
+    """Gradient and noise of key 0, panel, mark and bar, with the places that a bar and a mixed raster leave to the first two."""
+    y, x, c = np.ogrid[:N, :N, :3]
+    each = lambda *v: np.array(v)[c]
+    gradient = np.where(c == 0, x * 3, np.where(c == 1, y * 3 + x, (x + y) * 2))
+    noise = x * each(7919, 3571, 1299) + y * each(104729, 15485, 7907) + x * y * each(13, 29, 7)
+    panel = np.where(y < 8, 40, np.where(x < 13, 60 + 5 * c, np.where(y % 8 == 0, 200, np.where((x % 16 == 5) & (y % 8 == 4), 20, 245))))
+    mark = np.where((x - 32) ** 2 + (y - 32) ** 2 < 200, each(220, 30, 40), 250)
+    bar = np.full((N, N, 3), 45)
+    for k, colour in enumerate(((230, 80, 70), (235, 190, 60), (70, 200, 80))):
+        bar = np.where((x - (6 + 10 * k)) ** 2 + (y - 6) ** 2 < 10, each(*colour), bar)
+    return *(np.broadcast_to(v, (N, N, 3)).astype(np.uint8) for v in (gradient, noise, panel, mark, bar)), np.broadcast_to(y < 12, (N, N, 1)), (x >= 16) & (x < 48) & (y >= 16) & (y < 48)
+
+
+_GRADIENT, _NOISED, _PANEL, _MARKED, _BAR, _UPPER, _MIDDLE = _grids()
+
+
+def raster_of(key: int | None) -> bytes | None:
+    """The pixels of one key in numpy; none where SQL has no colour, or a first point below zero."""
+    if key is None or (key < 0 and (key % 6 or key % 256)):
+        return None
+    family, ramp = key % 6, np.array([key % 256, 0, 0], np.uint8)
+    if family in (2, 3):
+        return (_PANEL, _MARKED)[family - 2].tobytes()
+    if family in (0, 4):
+        gradient = _GRADIENT + ramp
+        return (np.where(_UPPER, _BAR, gradient) if family else gradient).tobytes()
+    noise = _NOISED + np.uint8(key * 31 % 256)
+    return (np.where(_MIDDLE, noise, np.array([200, 205, 210], np.uint8)) if family == 5 else noise).tobytes()
+
+
 _L = "(r * 0.299e0 + g * 0.587e0 + b * 0.114e0)::FLOAT"
 _NEAR = f"""SELECT *, abs(r - lead(r, 1) OVER w) + abs(g - lead(g, 1) OVER w) + abs(b - lead(b, 1) OVER w) AS gx, abs(r - lead(r, {N}) OVER w) + abs(g - lead(g, {N}) OVER w) + abs(b - lead(b, {N}) OVER w) AS gy,
  lead(l, 1) OVER w AS e, lag(l, 1) OVER w AS wl, lead(l, {N}) OVER w AS s, lag(l, {N}) OVER w AS n FROM (SELECT *, {_L} AS l FROM ({DUCK})) WINDOW w AS (PARTITION BY image_id ORDER BY y, x)"""

@@ -1,13 +1,15 @@
 """Pixels stay in the task that their supplier is dealt to, and tasks hold few suppliers however large the table is."""
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lumenforge.functions import urls
+from lumenforge.functions import raster, urls
 from lumenforge.operators import provenance
+from lumenforge.plans import pixels as plan
 from lumenforge.plans import signals
 from lumenforge.session import dealt
 
@@ -43,6 +45,33 @@ def test_pixels_are_not_shuffled(spark, small, name):
     assert found and all("(s_suppkey" in line and "REPARTITION_BY_NUM" in line for line in found)
 
 
+RASTERS = ["r07_x27_x33_mark_tensor", "r08_sharper_half"]
+
+
+@pytest.mark.parametrize("name", RASTERS)
+def test_rasters_are_made_whole(spark, small, name):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan  # no row for each pixel goes through Python
+
+
+def test_whole_rasters_are_the_pixels(spark, tmp_path):
+    keys = [*range(800), 2**40 + 3, -6 * 256, -6, -5, None]
+    spark.createDataFrame([(k,) for k in [*keys, 7]], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.image_id: r.rgb for r in signals.raster_rows(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(keys) and [k for k in keys if got[k] is None] == [-6, -5, None]
+    order = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b")))
+    want = plan.pixels(spark, str(tmp_path)).filter("image_id >= 0 AND image_id <> 7").groupBy("image_id").agg(order.alias("p"))
+    for r in want.collect():
+        assert bytes(got[r.image_id]) == bytes(c for p in r.p for c in p[2:])
+
+
+def test_weights_of_a_size_are_made_once():
+    raster._weights.cache_clear()
+    for k in (1, 2, 3):
+        raster.resize(np.full((8, 8, 3), k, np.uint8), 4, 4, "lanczos")
+    assert raster._weights.cache_info().misses == 1
+
+
 def test_best_address_computes_candidates_once(spark):
     rows = spark.createDataFrame([("a 1x, b 2x, c 800w",), ("d 0w",), ("",), (None,)], "x string")
     best = rows.select(urls.pick_best(urls.parse_srcset(F.col("x"))).alias("best"))
