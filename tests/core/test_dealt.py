@@ -45,7 +45,7 @@ def test_pixels_are_not_shuffled(spark, small, name):
     assert found and all("(s_suppkey" in line and "REPARTITION_BY_NUM" in line for line in found)
 
 
-RASTERS = ["r07_x27_x33_mark_tensor", "r08_sharper_half", "r02_short_side_crop", "r04_m04_x01_x15_arrow_features", "g05_m05_pipeline", "m07_both_heads", "x21_x22_x26_visible_mark"]
+RASTERS = ["r07_x27_x33_mark_tensor", "r08_sharper_half", "r02_short_side_crop", "r04_m04_x01_x15_arrow_features", "g05_m05_pipeline", "m07_both_heads", "x21_x22_x26_visible_mark", "r01_r05_tensors"]
 
 
 @pytest.mark.parametrize("name", RASTERS)
