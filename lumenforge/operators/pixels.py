@@ -189,20 +189,43 @@ def regions(width: int, height: int) -> list[tuple[int, int, int, int, int]]:
     ]
 
 
+def lit_points(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, region, rw, rh, x, y (within the region), lit: at least the region's mean luma."""
+    inside = lambda t: (F.col("x") >= t[1]) & (F.col("x") < t[3]) & (F.col("y") >= t[2]) & (F.col("y") < t[4])
+    # a region that a pixel isn't in gives an empty row, dropped behind; a filter of the array would not be compiled
+    which = F.array(*[F.when(inside(t), F.struct(F.lit(t[0]).alias("region"), F.lit(t[1]).alias("x0"), F.lit(t[2]).alias("y0"), F.lit(t[3] - t[1]).alias("rw"), F.lit(t[4] - t[2]).alias("rh"))) for t in regions(width, height)])
+    cut = pixels.select("image_id", "x", "y", luma().alias("l"), F.inline(which)).filter("region IS NOT NULL").select("image_id", "region", "rw", "rh", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "l")
+    return cut.withColumn("lit", F.col("l") >= F.avg("l").over(W.partitionBy("image_id", "region")))
+
+
+def _polarities(plain: Column, inverse: Column, name: str) -> Column:
+    return F.inline(F.array(F.struct(F.lit(False).alias("invert"), plain.alias(name)), F.struct(F.lit(True).alias("invert"), inverse.alias(name))))
+
+
 def binarised(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """image_id, region, invert, x, y (within the region), bit: at least the region's mean luma, in both polarities."""
-    inside = lambda t: (F.col("x") >= t[1]) & (F.col("x") < t[3]) & (F.col("y") >= t[2]) & (F.col("y") < t[4])
-    which = F.filter(F.array(*[F.when(inside(t), F.struct(F.lit(t[0]).alias("region"), F.lit(t[1]).alias("x0"), F.lit(t[2]).alias("y0"), F.lit(t[3] - t[1]).alias("rw"), F.lit(t[4] - t[2]).alias("rh"))) for t in regions(width, height)]), lambda s: s.isNotNull())
-    cut = pixels.select("image_id", "x", "y", luma().alias("l"), F.inline(which)).select("image_id", "region", "rw", "rh", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "l")
-    lit = F.col("l") >= F.avg("l").over(W.partitionBy("image_id", "region"))
-    both = F.array(F.struct(F.lit(False).alias("invert"), F.col("lit").cast("int").alias("bit")), F.struct(F.lit(True).alias("invert"), (~F.col("lit")).cast("int").alias("bit")))
-    return cut.withColumn("lit", lit).select("image_id", "region", "rw", "rh", "x", "y", F.inline(both))
+    lit = F.col("lit")
+    return lit_points(pixels, width, height).select("image_id", "region", "rw", "rh", "x", "y", _polarities(lit.cast("int"), (~lit).cast("int"), "bit"))
+
+
+def densities(points: DataFrame) -> DataFrame:
+    """image_id, region, invert, y, density: of each row the share of set bits; lit points are counted once for both polarities."""
+    rows = points.groupBy("image_id", "region", "y").agg(F.count_if("lit").alias("lit"), F.count("lit").alias("n"))
+    share_ = lambda c: F.try_divide(c.cast("double"), F.col("n").cast("double"))
+    return rows.select("image_id", "region", "y", _polarities(share_(F.col("lit")), share_(F.col("n") - F.col("lit")), "density"))
+
+
+_BANDS = ("image_id", "region", "invert")
 
 
 def text_bands(bits: DataFrame, lo: float = 0.02, hi: float = 0.55, least: int = 5, most: int = 4) -> DataFrame:
     """Runs of rows whose share of set bits is within bounds: gaps and islands; the first ``most`` of at least ``least`` rows."""
-    key = ("image_id", "region", "invert")
-    rows = bits.groupBy(*key, "y").agg(F.avg("bit").alias("density")).filter(F.col("density").between(lo, hi))
+    return bands(bits.groupBy(*_BANDS, "y").agg(F.avg("bit").alias("density")), lo, hi, least, most)
+
+
+def bands(rows: DataFrame, lo: float = 0.02, hi: float = 0.55, least: int = 5, most: int = 4) -> DataFrame:
+    """As ``text_bands``, from the densities of rows."""
+    key, rows = _BANDS, rows.filter(F.col("density").between(lo, hi))
     island = F.col("y") - F.row_number().over(W.partitionBy(*key).orderBy("y"))
     runs = rows.withColumn("island", island).groupBy(*key, "island").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).filter(F.col("y1") - F.col("y0") >= least)
     return runs.withColumn("band", F.row_number().over(W.partitionBy(*key).orderBy("y0"))).filter(F.col("band") <= most).drop("island")

@@ -169,7 +169,7 @@ _RUNS = f"SELECT image_id, region, invert, min(y)::INT AS y0, (max(y) + 1)::INT
 @query("x16_x20_w04_text_bands", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, region, invert ORDER BY y0)::INT AS band FROM ({_RUNS})) WHERE band <= 4")
 def text_bands(spark: SparkSession, d: str) -> DataFrame:
     """Regions, luma, both polarities, row densities, gaps and islands."""
-    return px.text_bands(px.binarised(pixels(spark, d), N, N))
+    return px.bands(px.densities(px.lit_points(pixels(spark, d), N, N)))
 
 
 @query("r06_watermark_side", "SELECT s_suppkey AS image_id, least(768, greatest(least(s_suppkey % 1500, 900), 256))::INT AS side FROM supplier")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumenforge.functions import raster, urls
-from lumenforge.operators import provenance
+from lumenforge.operators import pixels, provenance
 from lumenforge.plans import pixels as plan
 from lumenforge.plans import signals
 from lumenforge.session import dealt
@@ -72,6 +72,15 @@ def test_weights_of_a_size_are_made_once():
     assert raster._weights.cache_info().misses == 1
 
 
+def test_rows_are_counted_once_for_both_polarities(spark):
+    points = spark.range(3 * 64 * 64).selectExpr("id div 4096 AS image_id", "cast(id % 64 AS int) AS x", "cast(id div 64 % 64 AS int) AS y", "cast(id * id * 31 % 251 AS int) AS r", "cast(id * 7 % 256 AS int) AS g", "cast(id div 64 % 9 * 20 AS int) AS b")
+    rows = pixels.densities(pixels.lit_points(points, 64, 64))
+    bits = pixels.binarised(points, 64, 64).groupBy("image_id", "region", "invert", "y").agg(F.avg("bit").alias("density"))
+    read = lambda df: sorted(map(tuple, df.select("image_id", "region", "invert", "y", "density").collect()))
+    assert read(rows) == read(bits)
+    assert sorted(map(tuple, pixels.bands(rows).collect())) == sorted(map(tuple, pixels.text_bands(pixels.binarised(points, 64, 64)).collect()))
+
+
 def test_best_address_computes_candidates_once(spark):
     rows = spark.createDataFrame([("a 1x, b 2x, c 800w",), ("d 0w",), ("",), (None,)], "x string")
     best = rows.select(urls.pick_best(urls.parse_srcset(F.col("x"))).alias("best"))
