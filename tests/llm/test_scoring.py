@@ -161,6 +161,13 @@ def test_bits_are_counted_behind_their_first_bits():
                 assert bits[row, (1 << j) + first].tolist() == [sum(int(table[row, s]) for s in here if s >> (7 - j) & 1 == v) for v in (0, 1)]
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_cost_of_a_bit_is_that_of_its_logit(kind):
+    z, bit = np.linspace(-40, 40, 4002).astype(kind), (np.arange(4002) % 2).astype(np.uint32)
+    want = np.logaddexp(0, np.where(bit == 1, -z.astype(float), z.astype(float)))
+    np.testing.assert_allclose(lmspell.bit_cost(z, bit), want, rtol=2e-6 if kind == np.float32 else 1e-9, atol=1e-7 if kind == np.float32 else 1e-12)
+
+
 def test_mixer_matches_a_plain_loop():
     """One block of bits, token by token, with start weights; then the weights' step."""
     rng = np.random.default_rng(10)
